@@ -55,3 +55,18 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tu
                 start, size = i + 1, 0
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """An equi-join on key whose two sides are both exchanged for it, so that AQE can split a key with very many rows.
+
+    Where one side is already partitioned by key, for instance as an aggregate, Spark would reuse that and could no longer
+    split; a second key that follows from the first prevents it. Rows with a null key match nothing.
+    """
+    h = "__h"
+    return left.withColumn(h, F.xxhash64(key)).join(right.withColumn(h, F.xxhash64(key)), [key, h], how).drop(h)
+
+
+def write_path(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -27,6 +27,28 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorequarry.llm.language_id import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorequarry.llm.toxicity import MAX_TRAIN, in_fold, sample, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    lexicon, weights = train(sample(docs, table(spark, sf_dir, "labels"), ~in_fold(), MAX_TRAIN))
+    return score(docs, lexicon, weights).select("doc_id", in_fold().alias("held_out"), "score", "predicted", "clauses")
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorequarry.llm.setsketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100, words=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
