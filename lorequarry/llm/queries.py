@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorequarry.llm.common import table
 
@@ -27,6 +28,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorequarry.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.md5(text).alias("text_md5"), F.octet_length(text).cast("long").alias("n_bytes"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorequarry.llm.language_id import held_out, identify, train
 
@@ -49,9 +58,18 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100, words=3)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorequarry.llm.common import shared_path
+    from lorequarry.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), 24, map_path=shared_path(spark, "slot-map"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lorequarry.llm.line_dedup import ORACLE
+
+    return {"op1_line_dedup": ORACLE}
