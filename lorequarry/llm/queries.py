@@ -65,6 +65,28 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 24, map_path=shared_path(spark, "slot-map"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorequarry.llm.projections import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorequarry.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorequarry.llm.common import shared_path
+    from lorequarry.llm.warc import build_index, read_archives, write_archives
+
+    path = shared_path(spark, "warc")
+    captures = write_archives(table(spark, sf_dir, "pages"), path)
+    build_index(captures, path)
+    return read_archives(captures, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 

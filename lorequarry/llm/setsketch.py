@@ -116,31 +116,60 @@ def confirm(pairs: DataFrame, texts: DataFrame, num: int, den: int, words: int)
     return with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+_LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
+
+def equal_registers(some: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    """In how many registers each of some sketches equals each of all; eight registers are compared at a time."""
+    out = np.full((len(some), len(all_)), REGISTERS, np.int32)
+    x, y = some.view(np.uint64), np.ascontiguousarray(all_.view(np.uint64).T)
+    for k in range(REGISTERS // 8):
+        diff = x[:, k : k + 1] ^ y[k][None, :]
+        out -= np.bitwise_count((((diff & _LOW) + _LOW) | diff) & _HIGH)
+    return out
+
+
 def _residual(least: float, top: int):
-    """Within a bucket's block or pair of blocks: the likeliest partners, in other components, of rows outside its main component."""
+    """Within a bucket's block or pair of blocks: of open rows outside its main component, the likeliest partners in other components.
+
+    At most top for each row and component; a row that has more is told as (row, row).
+    """
+    c = (BASE - 1) / BASE
+    # the register agreement expected at least, for equal sizes (it hardly depends on them), less two standard errors
+    fewest = REGISTERS * (1 + 2 * math.log1p(-c * (1 - least) / 2) / math.log(BASE)) - 2 * math.sqrt(REGISTERS) / 2
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
         reg = np.frombuffer(b"".join(rows["registers"]), np.uint8).reshape(len(rows), REGISTERS)
-        ids, comp, size, blk = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles", "blk"))
+        ids, comp, size, blk, open_ = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles", "blk", "open"))
         names, counts = np.unique(comp, return_counts=True)
         main = names[counts.argmax()]
-        out = []
-        for r in np.flatnonzero(comp != main):
-            other = (comp != comp[r]) & ((comp == main) | (ids > ids[r])) & ((blk != blk[r]) if i != j else True)
-            at = np.flatnonzero(other)
-            ok, slope = likely(reg[r], size[r], reg[at], size[at], least)
-            at, slope = at[ok], slope[ok]
-            order = np.lexsort((ids[at], -slope))
-            seen: dict = {}
-            for k in order:
-                c = comp[at[k]]
-                seen[c] = n = seen.get(c, 0) + 1
-                if n <= top:
-                    out.append((min(ids[r], ids[at[k]]), max(ids[r], ids[at[k]]), False))
-                elif n == top + 1:
-                    out.append((ids[r], ids[r], True))
-        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
+        asked, searched = (comp != main) & open_, comp != main
+        out_a, out_b = [], []
+        step = max(1, 2_000_000 // len(rows))
+        for m in (q[k : k + step] for q in [np.flatnonzero(asked)] for k in range(0, q.size, step)):
+            ok = equal_registers(reg[m], reg) >= fewest
+            # a pair of two rows that are both asked is looked at once
+            ok &= (comp[m][:, None] != comp[None, :]) & (~(searched & open_)[None, :] | (ids[None, :] > ids[m][:, None]))
+            if i != j:
+                ok &= blk[m][:, None] != blk[None, :]
+            for r, mine in zip(m.tolist(), ok, strict=True):
+                at = np.flatnonzero(mine)
+                if not at.size:
+                    continue
+                fit, slope = likely(reg[r], size[r], reg[at], size[at], least)
+                at, slope = at[fit], slope[fit]
+                order = np.lexsort((ids[at], -slope, comp[at]))
+                at = at[order]
+                k = np.arange(at.size)
+                nth = k - np.maximum.accumulate(np.where(np.diff(comp[at], prepend=comp[at[:1]] - 1) != 0, k, 0)) if at.size else k
+                kept = at[nth < top]
+                out_a += [np.minimum(ids[r], ids[kept])]
+                out_b += [np.maximum(ids[r], ids[kept])]
+                if kept.size < at.size:
+                    out_a.append(ids[r : r + 1])
+                    out_b.append(ids[r : r + 1])
+        return pd.DataFrame({"a": np.concatenate([*out_a, np.zeros(0, np.int64)]), "b": np.concatenate([*out_b, np.zeros(0, np.int64)])})
 
     return run
 
@@ -156,7 +185,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
        least id: a number of pairs linear in the members. The links give components.
     3. Buckets that hold more than one component are searched: rows outside the bucket's main component against all others,
        in blocks, by the likelihood test. Likely partners of each row in each other component are confirmed, the likeliest
-       first, in growing numbers, until every likely pair is confirmed, refuted, or inside one component.
+       first. Rows that have more of them are searched again, for eight times as many, until every likely pair is confirmed,
+       refuted, or inside one component.
 
     No pair inside a component is needed, so large groups of copies are not expanded. Documents without words, and rows with
     a null id, are linked with nothing (their component is their own id). Rows of one id are one document: the sets of all
@@ -178,29 +208,33 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     texts = materialize(rows.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
     links = materialize(confirm(stars, texts, num, den, words), "links")
     # Rows of one id with different sets share that id as a node; a representative with another id than its row is linked by its set.
-    tested, top = materialize(stars, "tested"), 2
+    tested, top, open_rows = materialize(stars, "tested"), 4, None
     labels = materialize(connected_components(links), "labels")
     while True:
         marked = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = marked.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+        if open_rows is None:
+            marked = marked.withColumn("open", F.lit(True))
+        else:
+            marked = marked.join(open_rows.withColumn("open", F.lit(True)), "rep", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        mixed = marked.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("open").alias("any")).where("c0 < c1 and any").select("key")
         blk = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-        open_ = skew_join(marked, mixed, "key").withColumn("nb", blk).withColumn("blk", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
+        searched = skew_join(marked, mixed, "key").withColumn("nb", blk).withColumn("blk", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
         dealt = (
-            open_.join(reps.select("rep", "n_shingles", "registers"), "rep")
+            searched.join(reps.select("rep", "n_shingles", "registers"), "rep")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            .select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "rep", "component", "n_shingles", "registers", "blk")
+            .select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "rep", "component", "n_shingles", "registers", "blk", "open")
         )
-        found = materialize(dealt.groupBy("key", "i", "j").applyInPandas(_residual(least, top), "a long, b long, more boolean"), "found")
-        fresh = materialize(found.where("not more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            if found.where("more").isEmpty():
-                break
-        else:
+        found = materialize(dealt.groupBy("key", "i", "j").applyInPandas(_residual(least, top), "a long, b long").distinct(), "found")
+        fresh = materialize(found.where("a < b").join(tested, ["a", "b"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
             more = materialize(confirm(fresh, texts, num, den, words), "links")
             tested = tested.unionByName(fresh)
             if not more.isEmpty():
                 links = links.unionByName(more)
                 labels = materialize(connected_components(links), "labels")
+        open_rows = found.where("a = b").select(F.col("a").alias("rep"))
+        if open_rows.isEmpty():
+            break
         top *= 8
     named = reps.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     linked = skew_join(full.select("doc_id", "n_shingles", "set_key"), named, "set_key").select("doc_id", "n_shingles", "component_id")
