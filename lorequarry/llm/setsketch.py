@@ -7,13 +7,12 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import blocks, materialize, skew_join
+from lorequarry.llm.common import blocks, groups, materialize, skew_join
 from lorequarry.llm.components import connected_components
 from lorequarry.llm.shingles import mix, shingle_sets
 
@@ -138,15 +137,15 @@ def _residual(least: float, top: int):
     # the register agreement expected at least, for equal sizes (it hardly depends on them), less two standard errors
     fewest = REGISTERS * (1 + 2 * math.log1p(-c * (1 - least) / 2) / math.log(BASE)) - 2 * math.sqrt(REGISTERS) / 2
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        reg = np.frombuffer(b"".join(rows["registers"]), np.uint8).reshape(len(rows), REGISTERS)
+    def search(rows: pa.Table) -> pa.RecordBatch:
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        reg = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint8).reshape(rows.num_rows, REGISTERS)
         ids, comp, size, blk, open_ = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles", "blk", "open"))
         names, counts = np.unique(comp, return_counts=True)
         main = names[counts.argmax()]
         asked, searched = (comp != main) & open_, comp != main
         out_a, out_b = [], []
-        step = max(1, 2_000_000 // len(rows))
+        step = max(1, 65_536 // rows.num_rows)
         for m in (q[k : k + step] for q in [np.flatnonzero(asked)] for k in range(0, q.size, step)):
             ok = equal_registers(reg[m], reg) >= fewest
             # a pair of two rows that are both asked is looked at once
@@ -169,7 +168,12 @@ def _residual(least: float, top: int):
                 if kept.size < at.size:
                     out_a.append(ids[r : r + 1])
                     out_b.append(ids[r : r + 1])
-        return pd.DataFrame({"a": np.concatenate([*out_a, np.zeros(0, np.int64)]), "b": np.concatenate([*out_b, np.zeros(0, np.int64)])})
+        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (out_a, out_b))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, 3):
+            yield search(rows)
 
     return run
 
@@ -211,7 +215,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     tested, top, open_rows = materialize(stars, "tested"), 4, None
     labels = materialize(connected_components(links), "labels")
     while True:
-        marked = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        # the only pair of a bucket of two has been confirmed or refuted already
+        marked = members.where("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         if open_rows is None:
             marked = marked.withColumn("open", F.lit(True))
         else:
@@ -223,8 +228,10 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
             searched.join(reps.select("rep", "n_shingles", "registers"), "rep")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
             .select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "rep", "component", "n_shingles", "registers", "blk", "open")
+            .repartition("key", "i", "j")
+            .sortWithinPartitions("key", "i", "j")
         )
-        found = materialize(dealt.groupBy("key", "i", "j").applyInPandas(_residual(least, top), "a long, b long").distinct(), "found")
+        found = materialize(dealt.mapInArrow(_residual(least, top), "a long, b long").distinct(), "found")
         fresh = materialize(found.where("a < b").join(tested, ["a", "b"], "left_anti"), "fresh")
         if not fresh.isEmpty():
             more = materialize(confirm(fresh, texts, num, den, words), "links")
