@@ -16,9 +16,9 @@ from lorequarry.llm.shingles import mix
 #: Most labelled rows that the lexicon and the weights are learned from, chosen by a hash of their id.
 MAX_TRAIN = 20_000
 #: Stems are word beginnings of these lengths, or whole words behind a "=".
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: A learned stem is in so many toxic rows at least, and its log-odds are so large.
-MIN_ROWS, MIN_ODDS = 5, 2.5
+MIN_ROWS, MIN_ODDS = 5, 1.5
 #: Most stems considered and most that the lexicon holds.
 MAX_CANDIDATES, MAX_LEXICON = 50_000, 4_000
 
