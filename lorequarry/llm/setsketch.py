@@ -22,6 +22,8 @@ REGISTERS, BASE, RATE = 256, 1.2, 20.0
 BANDS, BAND_ROWS = 24, 6
 #: Rows of a bucket compared in one task; larger buckets are dealt out as pairs of blocks.
 BLOCK_ROWS = 2048
+#: Least shingle hashes kept of a set (32 bits of each); smaller sets are kept whole.
+SAMPLE = 512
 
 _GOLDEN, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -74,8 +76,25 @@ def likely(mine: np.ndarray, size: float, others: np.ndarray, sizes: np.ndarray,
     return (slope >= 0) & fits, slope
 
 
+def sampled(mine: np.ndarray, whole: bool, other: np.ndarray, other_whole: bool, least: float) -> bool:
+    """Whether the least hashes of two sets leave a similarity of least or more possible, four standard errors included.
+
+    Up to the lesser of the largest hashes of the sets that were cut, both samples are complete. Sets kept whole have no
+    error but that of 32-bit hashes, for which one shingle is allowed.
+    """
+    if not (whole and other_whole):
+        top = min(x[-1] for x, w in ((mine, whole), (other, other_whole)) if not w)
+        mine, other = mine[: np.searchsorted(mine, top, "right")], other[: np.searchsorted(other, top, "right")]
+    both = np.concatenate([mine, other])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum()) + 1
+    union = max(1, both.size - same + 1)
+    error = 0.0 if whole and other_whole else 4 * math.sqrt(least * (1 - least) / union)
+    return same >= (least - error) * (union - 1)
+
+
 def sketches(docs: DataFrame, words: int = 3) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_key (16 bytes, null for empty sets) and registers."""
+    """Per row: doc_id, n_shingles, set_key (16 bytes, null for empty sets), registers and sample (the set's least hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
@@ -83,9 +102,10 @@ def sketches(docs: DataFrame, words: int = 3) -> DataFrame:
             reg = sketch(sets)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             rows = [r.tobytes() if k else None for r, k in zip(reg, keys, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "n_shingles", "set_key", "registers"])
+            some = [(s[:SAMPLE] >> np.uint64(32)).astype(np.uint32).tobytes() if k else None for s, k in zip(sets, keys, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary()), pa.array(some, pa.binary())], names=["doc_id", "n_shingles", "set_key", "registers", "sample"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary, sample binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, num: int, den: int, words: int) -> DataFrame:
@@ -128,10 +148,12 @@ def equal_registers(some: np.ndarray, all_: np.ndarray) -> np.ndarray:
     return out
 
 
-def _residual(least: float, top: int):
-    """Within a bucket's block or pair of blocks: of open rows outside its main component, the likeliest partners in other components.
+def _residual(least: float, wanted: float, top: int):
+    """Within a bucket's block or pair of blocks: for rows outside its main component, the likeliest partners in other components.
 
-    At most top for each row and component; a row that has more is told as (row, row).
+    Only pairs with an open row are looked at, and only in the first band in which the two agree. Partners must pass the
+    likelihood test at least and that of the samples at wanted. At most top for each row and component; a row that has more
+    is told as (row, row) and stays open.
     """
     c = (BASE - 1) / BASE
     # the register agreement expected at least, for equal sizes (it hardly depends on them), less two standard errors
@@ -140,28 +162,34 @@ def _residual(least: float, top: int):
     def search(rows: pa.Table) -> pa.RecordBatch:
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
         reg = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint8).reshape(rows.num_rows, REGISTERS)
-        ids, comp, size, blk, open_ = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles", "blk", "open"))
+        samples = [np.frombuffer(x, np.uint32) for x in rows["sample"].to_pylist()]
+        ids, comp, size, blk, open_, band = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles", "blk", "open", "band"))
         names, counts = np.unique(comp, return_counts=True)
-        main = names[counts.argmax()]
-        asked, searched = (comp != main) & open_, comp != main
+        asked = comp != names[counts.argmax()]
+        early = reg[:, : BAND_ROWS * int(band[0])].reshape(rows.num_rows, int(band[0]), BAND_ROWS)
         out_a, out_b = [], []
         step = max(1, 65_536 // rows.num_rows)
         for m in (q[k : k + step] for q in [np.flatnonzero(asked)] for k in range(0, q.size, step)):
             ok = equal_registers(reg[m], reg) >= fewest
-            # a pair of two rows that are both asked is looked at once
-            ok &= (comp[m][:, None] != comp[None, :]) & (~(searched & open_)[None, :] | (ids[None, :] > ids[m][:, None]))
+            ok &= (comp[m][:, None] != comp[None, :]) & (open_[m][:, None] | open_[None, :])
+            ok &= ~asked[None, :] | (ids[None, :] > ids[m][:, None])  # a pair of two rows that are both asked is looked at once
             if i != j:
                 ok &= blk[m][:, None] != blk[None, :]
             for r, mine in zip(m.tolist(), ok, strict=True):
                 at = np.flatnonzero(mine)
                 if not at.size:
                     continue
+                at = at[~(early[at] == early[r]).all(axis=2).any(axis=1)]
                 fit, slope = likely(reg[r], size[r], reg[at], size[at], least)
                 at, slope = at[fit], slope[fit]
+                fit = np.array([sampled(samples[r], size[r] <= SAMPLE, samples[k], size[k] <= SAMPLE, wanted) for k in at.tolist()], bool)
+                at, slope = at[fit], slope[fit]
+                if not at.size:
+                    continue
                 order = np.lexsort((ids[at], -slope, comp[at]))
                 at = at[order]
                 k = np.arange(at.size)
-                nth = k - np.maximum.accumulate(np.where(np.diff(comp[at], prepend=comp[at[:1]] - 1) != 0, k, 0)) if at.size else k
+                nth = k - np.maximum.accumulate(np.where(np.diff(comp[at], prepend=comp[at[:1]] - 1) != 0, k, 0))
                 kept = at[nth < top]
                 out_a += [np.minimum(ids[r], ids[kept])]
                 out_b += [np.maximum(ids[r], ids[kept])]
@@ -188,9 +216,9 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     2. Representatives that agree in a band meet in its bucket. Every member is confirmed, on full sets, against the bucket's
        least id: a number of pairs linear in the members. The links give components.
     3. Buckets that hold more than one component are searched: rows outside the bucket's main component against all others,
-       in blocks, by the likelihood test. Likely partners of each row in each other component are confirmed, the likeliest
-       first. Rows that have more of them are searched again, for eight times as many, until every likely pair is confirmed,
-       refuted, or inside one component.
+       in blocks, by the likelihood test and by the sets' least hashes (which settle short texts). Likely partners of each
+       row in each other component are confirmed, the likeliest first. Rows that have more of them are searched again, for
+       eight times as many, until every likely pair is confirmed, refuted, or inside one component.
 
     No pair inside a component is needed, so large groups of copies are not expanded. Documents without words, and rows with
     a null id, are linked with nothing (their component is their own id). Rows of one id are one document: the sets of all
@@ -201,12 +229,12 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     base = materialize(sketches(rows, words), "sketches")
     full = base.where("set_key is not null and doc_id is not null")
-    reps = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "representatives")
+    reps = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("sample").alias("sample")), "representatives")
 
     band = [F.xxhash64(F.lit(k), F.substring("registers", 1 + BAND_ROWS * k, BAND_ROWS)) for k in range(BANDS)]
-    keys = reps.select("rep", F.explode(F.array(*band)).alias("key"))
+    keys = reps.select("rep", F.posexplode(F.array(*band)).alias("band", "key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
-    members = materialize(skew_join(keys, sizes, "key"), "members")  # key, rep, n, leader
+    members = materialize(skew_join(keys, sizes, "key"), "members")  # key, rep, band, n, leader
     stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialize(rows.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
@@ -225,13 +253,13 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
         blk = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
         searched = skew_join(marked, mixed, "key").withColumn("nb", blk).withColumn("blk", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
         dealt = (
-            searched.join(reps.select("rep", "n_shingles", "registers"), "rep")
+            searched.join(reps.select("rep", "n_shingles", "registers", "sample"), "rep")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            .select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "rep", "component", "n_shingles", "registers", "blk", "open")
+            .select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "rep", "component", "n_shingles", "registers", "sample", "blk", "open", "band")
             .repartition("key", "i", "j")
             .sortWithinPartitions("key", "i", "j")
         )
-        found = materialize(dealt.mapInArrow(_residual(least, top), "a long, b long").distinct(), "found")
+        found = materialize(dealt.mapInArrow(_residual(least, num / den, top), "a long, b long").distinct(), "found")
         fresh = materialize(found.where("a < b").join(tested, ["a", "b"], "left_anti"), "fresh")
         if not fresh.isEmpty():
             more = materialize(confirm(fresh, texts, num, den, words), "links")
