@@ -16,19 +16,15 @@ def slug(text: str) -> str:
 
 
 class Anchors:
-    """slug, slug-2, slug-3 ... in order of appearance; a number is skipped where a heading has that very name."""
+    """slug, slug--2, slug--3 ... in order of appearance, as the index numbers them; a slug never holds two hyphens in a row."""
 
     def __init__(self) -> None:
-        self.used: set[str] = set()
+        self.seen: dict[str, int] = {}
 
     def next(self, text: str) -> str:
-        base, n = slug(text), 1
-        name = base
-        while name in self.used:
-            n += 1
-            name = f"{base}-{n}"
-        self.used.add(name)
-        return name
+        base = slug(text)
+        self.seen[base] = n = self.seen.get(base, 0) + 1
+        return base if n == 1 else f"{base}--{n}"
 
 
 def inline(text: str, targets: dict[str, str] | None = None) -> str:

@@ -46,14 +46,12 @@ def degrees(found: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, base: str, scope: list[str], order: list[str], out: str) -> DataFrame:
-    """Collision-free names: base, base-2, base-3 ... within scope (everything if empty), by order.
+    """Collision-free names: base, base--2, base--3 ... within scope (everything if empty), by order.
 
-    A name that a suffix would make and that is some other row's base gets the next free form: a base that already ends in a
-    number is kept apart by a doubled hyphen before the suffix.
+    A slug never holds two hyphens in a row, so no suffixed name is another row's base.
     """
     w = Window.partitionBy(*scope, base).orderBy(*order)
-    n = F.row_number().over(w)
-    return rows.withColumn("__n", n).withColumn(out, F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.when(F.col(base).rlike("-[0-9]+$"), "--").otherwise("-"), F.col("__n").cast("string")))).drop("__n")
+    return rows.withColumn("__n", F.row_number().over(w)).withColumn(out, F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat(base, F.lit("--"), F.col("__n").cast("string")))).drop("__n")
 
 
 def file_names(pages: DataFrame, title: str = "title", suffix: str = ".html") -> DataFrame:

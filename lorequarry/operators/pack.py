@@ -54,8 +54,12 @@ def with_sources(packed: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def as_json(packed: DataFrame) -> DataFrame:
-    """query_id, pack: one JSON document a query, chunks in order of page rank, page and chunk rank. A pack is bounded by its budgets."""
-    item = F.struct("page_rank", "page_id", "chunk_rank", "chunk_id", "start_off", "end_off", "hash", F.col("chunk").alias("excerpt"))
+    """query_id, pack: one JSON document a query, chunks in order of page rank, page and chunk rank. A pack is bounded by its budgets.
+
+    Sources, confidence, contested status and reasons go along where packed has them.
+    """
+    more = [c for c in ("sources", "confidence", "contested", "reasons") if c in packed.columns]
+    item = F.struct("page_rank", "page_id", "chunk_rank", "chunk_id", "start_off", "end_off", "hash", F.col("chunk").alias("excerpt"), *more)
     return packed.groupBy("query_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("chunks"))).alias("pack"))
 
 

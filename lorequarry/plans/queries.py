@@ -235,6 +235,37 @@ def render_html(spark, d):
     return rendered(_pages(spark, d).withColumn("title", F.substring_index("text", "\n", 1)))
 
 
+def published_pages(spark, d):
+    """Pages that a snapshot may carry: the allowlist less everything that leads to a toxic page."""
+    from lorequarry.operators.bundle import published
+
+    toxic = _read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    return published(_pages(spark, d), toxic, _graph(spark, d)).select("page_id", "profile")
+
+
+def bundle_resources(spark, d):
+    from lorequarry.operators.bundle import resources
+
+    return resources(_pages(spark, d), "snapshot")
+
+
+def bundle_files(spark, d):
+    from lorequarry.operators.bundle import bundle
+
+    out = bundle(_pages(spark, d), "Corpus", health.page_findings(_pages(spark, d)))
+    return out.select("rel_path", X.content_hash(F.col("content")).alias("content_sha256"))
+
+
+def query_log_windows(spark, d):
+    """The windowed counts that the stream keeps, over a log whose lines are the events."""
+    from lorequarry.streaming.query_log import windowed
+
+    events = _read(spark, d, "events")
+    log = events.select(F.col("ts"), F.col("event_type").alias("profile"), F.when(F.col("value") > 50, F.array(F.col("user_id").cast("string"))).otherwise(F.array().cast("array<string>")).alias("result_page_ids"))
+    out = windowed(log)
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "profile", "queries", "empty")
+
+
 def page_metadata(spark, d):
     """The meta elements of each page, escaped."""
     esc = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("source"), "&", "&amp;"), "<", "&lt;"), '"', "&quot;")
@@ -246,7 +277,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     postings term_df retrieve_topk retrieve_profile retrieve_bm25 glossary_expand retrieve_expanded seed_context pack_budget pack_chunk_cap
     pack_sources pack_reasons context_pack_markdown context_pack_json eval_metrics hash_drift stale_artifacts health_findings link_health
     orphan_pages quality_summary snapshot_allowlist transitive_exclusion sanitize_text snapshot_manifest section_spans query_log_daily
-    render_html page_metadata""".split()
+    render_html page_metadata published_pages bundle_resources bundle_files query_log_windows""".split()
     return {n: globals()[n] for n in names}
 
 
@@ -265,7 +296,7 @@ r as (select *, row_number() over (partition by query_id order by matched desc,
 
 
 _SLUG = r"coalesce(nullif(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section')"
-_NAMED = "case when n = 1 then slug when regexp_matches(slug, '-[0-9]+$') then slug || '--' || n else slug || '-' || n end"
+_NAMED = "case when n = 1 then slug else slug || '--' || n end"
 _H = "h as (select page_id, url, html, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) as path from pages)"
 _MD = r"regexp_extract_all(html, '\[[^\]]*\]\(([^)\s]+)\)', 1)"
 _WIKI = r"regexp_extract_all(html, '\[\[([^\]|#]+)', 1)"
@@ -339,4 +370,8 @@ select query_id, expected, found, found > 0 as hit, round(coalesce(1.0 / best, 0
     "snapshot_manifest": f"with c as (select doc_id as page_id, {_CLEAN} as clean from documents) select 'wiki/' || page_id || '.md' as rel_path, 'page' as kind, strlen(clean)::bigint as n_bytes, sha256(clean) as content_sha256 from c",
     "query_log_daily": "select ts::date::varchar as day, event_type, count(*) as n, count(distinct user_id) as users from events group by all",
     "page_metadata": """select doc_id as page_id, '<meta name="lang" content="' || lang || '"><meta name="source" content="' || replace(replace(replace(source, '&', '&amp;'), '<', '&lt;'), '"', '&quot;') || '">' as meta from documents""",
+    "published_pages": f"with recursive {_P}, {_G}, x(page_id) as (select doc_id from labels where toxic = 1 union select src from g join x on g.dst = x.page_id) select page_id, profile from p where page_id not in (select page_id from x)",
+    "bundle_resources": f"""with c as (select doc_id::varchar as page_id, {_CLEAN} as clean from documents)
+select page_id, 'wiki://page/' || page_id as uri, page_id as name, 'snapshot/wiki/' || page_id || '.md' as path, sha256(clean) as content_sha256 from c""",
+    "query_log_windows": """select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type as profile, count(*) as queries, count(*) filter (not coalesce(value > 50, false)) as empty from events group by all""",
 }

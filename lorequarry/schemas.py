@@ -47,3 +47,13 @@ CHUNKS = T.StructType(
     ]
 )
 ALL = {"raw_notes": RAW_NOTES, "pages": PAGES, "postings": POSTINGS, "edges": EDGES, "glossary": GLOSSARY, "query_log": QUERY_LOG, "evals": EVALS, "context_chunks": CHUNKS}
+
+
+def with_corrupt(schema: T.StructType) -> T.StructType:
+    """schema with a column for lines that cannot be read."""
+    return T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+
+
+def documented() -> dict[str, str]:
+    """The JSON form of every schema, by file name, for bundles."""
+    return {f"schemas/{name}.schema.json": schema.json() for name, schema in sorted(ALL.items())}
