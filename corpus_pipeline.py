@@ -7,6 +7,8 @@ brute force.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,31 +23,40 @@ from lorequarry.llm.setsketch import near_duplicates
 ORACLE_SQL = None
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but doc_id and text under reserved names, so that none can clash, and the way back."""
+    quoted = {c: f"`{c.replace('`', '``')}`" for c in docs.columns}
+    names = {c: c if c in ("doc_id", "text") else f"__col{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(quoted[c]).alias(n) for c, n in names.items())), lambda out: out.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay; those without a letter or text (`und`) go."""
-    found = identify(docs, train(docs, ~held_out()), keep=True)
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    rows, back = _plain(docs)
+    found = identify(rows, train(docs, ~held_out()), keep=True)
+    return back(found.where("lang_pred <> 'und'"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated multi-line chunks; documents of which nothing is left go."""
-    out = dedup_lines(docs).where("removed_lines < n_lines or n_lines = 0")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    """Texts lose their repeated chunks of lines; documents of which nothing is left go."""
+    rows, back = _plain(docs)
+    out = back(dedup_lines(rows).where("removed_lines < n_lines or n_lines = 0"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: that with the least id."""
-    gone = near_duplicates(docs, num=80, den=100, words=5).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows, back = _plain(docs)
+    gone = near_duplicates(docs.select("doc_id", "text"), num=80, den=100, words=5).where("not kept").select("doc_id").distinct()
+    return back(rows.join(gone, "doc_id", "left_anti"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which a benchmark item leaked go."""
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    gone = leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="__row").select(F.col("doc_id").alias("__row"))
-    return keyed.join(gone, "__row", "left_anti").select(*docs.columns)
+    """Documents into which a benchmark item leaked go. A row is known by its id and text, so null ids are judged each."""
+    rows, back = _plain(docs)
+    keyed = rows.withColumn("__row", F.xxhash64("doc_id", "text"))
+    gone = leaks(keyed.select("__row", "text"), table(spark, sf_dir, "benchmark"), id_col="__row").select(F.col("doc_id").alias("__row")).distinct()
+    return back(keyed.join(gone, "__row", "left_anti"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
