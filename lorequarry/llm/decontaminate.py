@@ -125,6 +125,8 @@ def _passages(items: Items, words: np.ndarray, counts: np.ndarray, rows: int, ma
     start = at - items.place[hit]
     order = np.lexsort((start, item, doc))
     doc, item, start, hit = doc[order], item[order], start[order], hit[order]
+    if not doc.size:
+        return []
     length = np.array([len(w) for w in items.words], np.int64)[item]
     new = np.ones(doc.size, bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > length[1:] // 2 + 4)
