@@ -9,8 +9,8 @@ from lorequarry.llm.common import skew_join
 
 #: One line in so many ends a chunk, on average, and the lines that the rolling hash covers.
 DIVISOR, REACH = 2, 2
-#: Words from which a line is a passage of its own: it is a chunk by itself, and may be removed like one of several lines.
-PASSAGE_WORDS = 50
+#: Bytes (40 to 50 words) from which a line is a passage of its own: it is a chunk by itself, and may be removed like several lines.
+PASSAGE_BYTES = 250
 
 
 def line_hash(line: Column) -> Column:
@@ -18,35 +18,36 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def is_passage(line: Column) -> Column:
-    """Whether a line has PASSAGE_WORDS words or more, counted by its spaces."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= PASSAGE_WORDS - 1
-
-
 def _marked(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with __lines and __ends: the numbers of lines that end a chunk, the last line's among them.
+    """docs with __lines and __ends: the numbers e of lines that end a chunk, the last line's among them, and whether each is a passage p.
 
     A rolling hash over a line and the REACH - 1 lines before it, and nothing else, decides whether a chunk ends after it, so
     that boundaries inside a passage stay where they are when lines are put before it or taken away. A line that is a passage
     of its own stands alone.
     """
     out = docs.withColumn("__lines", F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1))
-    out = out.withColumn("__hashes", F.transform("__lines", line_hash)).withColumn("__long", F.transform("__lines", is_passage))
-    h, long = F.col("__hashes"), F.col("__long")
+    out = out.withColumn("__hashes", F.transform("__lines", line_hash))
+    h, lines = F.col("__hashes"), F.col("__lines")
 
     def rolling(i: Column) -> Column:
         return sum((F.coalesce(F.get(h, i - k), F.lit(0)) * (31**k) for k in range(1, REACH)), F.get(h, i)) % DIVISOR
 
+    def is_passage(i: Column) -> Column:
+        return F.coalesce(F.octet_length(F.get(lines, i)), F.lit(0)) >= PASSAGE_BYTES
+
     last = F.size(h) - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (rolling(i) == 0) | (i == last) | F.get(long, i) | F.coalesce(F.get(long, i + 1), F.lit(False)))
-    return out.withColumn("__ends", ends).drop("__hashes")
+    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (rolling(i) == 0) | (i == last) | is_passage(i) | is_passage(i + 1))
+    return out.withColumn("__ends", F.transform(ends, lambda i: F.struct(i.alias("e"), is_passage(i).alias("p")))).drop("__hashes")
+
+
+def _start(k: Column) -> Column:
+    return F.when(k == 0, 0).otherwise(F.get("__ends", k - 1)["e"] + 1)
 
 
 def _chunks() -> Column:
     """Structs k, at, n of the chunks of a _marked row that may go: those of several lines, and passages in one line."""
-    ends = F.col("__ends")
-    spans = F.transform(ends, lambda e, k: F.struct(k.alias("k"), F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1).alias("at"), (e - F.when(k == 0, -1).otherwise(F.get(ends, k - 1))).alias("n")))
-    return F.filter(spans, lambda s: (s["n"] > 1) | F.get("__long", s["at"]))
+    spans = F.transform("__ends", lambda x, k: F.struct(k.alias("k"), _start(k).alias("at"), (x["e"] - _start(k) + 1).alias("n"), x["p"]))
+    return F.filter(spans, lambda s: (s["n"] > 1) | s["p"])
 
 
 def _text(span: Column) -> Column:
@@ -56,7 +57,7 @@ def _text(span: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of docs, with text_col cleaned and n_lines, n_chunks, removed_chunks, removed_lines added.
 
-    Chunks of two lines or more, and single lines of PASSAGE_WORDS words or more, that occur again anywhere (within or across
+    Chunks of two lines or more, and single lines of PASSAGE_BYTES bytes or more, that occur again anywhere (within or across
     documents) are removed but for the first, by (id, chunk number). Other single lines and parts of lines stay. A chunk
     counts as repeated only where its bytes equal those of the first one with its 64-bit hash; of several chunks that share
     a hash by accident, those that differ from the first stay. A document all of whose lines went keeps its row with an
@@ -95,7 +96,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = out.withColumn("__out", spans_all)
     ends, lines = F.col("__ends"), F.col("__lines")
     # Each chunk that stays is joined with line breaks, and they again; so no line is looked at twice.
-    pieces = F.transform(ends, lambda e, k: F.when(F.coalesce(F.array_contains("__gone", k), F.lit(False)), None).otherwise(F.array_join(F.slice(lines, F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1) + 1, e - F.when(k == 0, -1).otherwise(F.get(ends, k - 1))), "\n")))
+    pieces = F.transform(ends, lambda x, k: F.when(F.coalesce(F.array_contains("__gone", k), F.lit(False)), None).otherwise(F.array_join(F.slice(lines, _start(k) + 1, x["e"] - _start(k) + 1), "\n")))
     known = F.col(text_col).isNotNull()
     cleaned = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(pieces, lambda p: p.isNotNull()), "\n"))
     out = out.withColumn("n_lines", F.when(known, F.size(lines)).otherwise(0).cast("long")).withColumn("n_chunks", F.when(known, F.size(ends)).otherwise(0).cast("long"))
@@ -105,12 +106,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 ORACLE = """
 with l as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
-h as (select doc_id, text, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 7))::bigint) as hs, list_transform(ls, lambda x: length(x) - length(replace(x, ' ', '')) >= 49) as ps from l),
+h as (select doc_id, text, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 7))::bigint) as hs, list_transform(ls, lambda x: strlen(x) >= 250) as ps from l),
 e as (select doc_id, text, ls, list_filter(range(1, len(hs) + 1), lambda i: i = len(hs) or (hs[i] + coalesce(hs[i - 1], 0) * 31) % 2 = 0 or ps[i] or coalesce(ps[i + 1], false)) as es from h),
 c as (select doc_id, text, ls, es, unnest(range(1, len(es) + 1)) as k from e),
 s as (select doc_id, k, case when k = 1 then 1 else es[k - 1] + 1 end as a, es[k] as b, ls from c),
 t as (select doc_id, k, b - a + 1 as n, array_to_string(ls[a:b], chr(10)) as chunk from s),
-o as (select *, n > 1 or length(chunk) - length(replace(chunk, ' ', '')) >= 49 as may_go from t),
+o as (select *, n > 1 or strlen(chunk) >= 250 as may_go from t),
 m as (select *, case when may_go then row_number() over (partition by may_go, chunk order by doc_id, k) else 1 end as seen from o),
 g as (select doc_id, count(*) filter (seen > 1) as removed_chunks, coalesce(sum(n) filter (seen > 1), 0)::bigint as removed_lines, sum(n)::bigint as n_lines, count(*) as n_chunks,
   coalesce(string_agg(chunk, chr(10) order by k) filter (seen = 1), '') as cleaned from m group by doc_id)

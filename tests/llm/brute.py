@@ -67,10 +67,10 @@ def near_components(rows, num, den, n):
     return components(sets, links), sets
 
 
-def line_chunks(text, words=50):
+def line_chunks(text, passage=250):
     lines = (text or "").split("\n")
     hashes = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    long = [x.count(" ") >= words - 1 for x in lines]
+    long = [len(x.encode()) >= passage for x in lines]
     out, start = [], 0
     for i in range(len(lines)):
         before = hashes[i - 1] * 31 if i else 0

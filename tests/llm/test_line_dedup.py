@@ -35,7 +35,7 @@ def test_a_shifted_passage_is_found(spark):
 
 def test_a_long_line_is_a_passage_anywhere(spark):
     line = " ".join(f"word{i}" for i in range(60))
-    short = " ".join(f"word{i}" for i in range(40))
+    short = " ".join(f"word{i}" for i in range(30))
     rows = [(i, f"head {i}\n{line}\nmiddle {i}\n{short}\ntail {i}") for i in range(30)]
     got = cleaned(spark.createDataFrame(rows, "doc_id long, text string"))
     assert line in got[0]["text"] and all(line not in got[i]["text"] for i in range(1, 30))
