@@ -42,17 +42,22 @@ def plan_cuts(at: list[int], cost: list[float], window: int = WINDOW, to_end: bo
     to_end: the last window ends at the last place; else at the best place within one window of it.
     """
     n = len(at)
-    best, prev, queue = [0.0] * n, [0] * n, deque([(0.0, 0)])
+    best, prev = [0.0] * n, [0] * n
+    places, lows, owners, head = [0], [0.0], [0], 0  # the queue begins at head; lows ascend
     for j in range(1, n):
         p = at[j]
-        while at[queue[0][1]] < p - window:
-            queue.popleft()
-        low, i = queue[0]
-        best[j], prev[j] = low + window - p + cost[j], i
-        value = best[j] + p
-        while queue and queue[-1][0] > value:
-            queue.pop()
-        queue.append((value, j))
+        while places[head] < p - window:
+            head += 1
+        value = lows[head] + window + cost[j]
+        best[j], prev[j] = value - p, owners[head]
+        while lows and lows[-1] > value:
+            lows.pop()
+        if len(lows) < len(places):
+            del places[len(lows) :], owners[len(lows) :]
+            head = min(head, len(lows))
+        places.append(p)
+        lows.append(value)
+        owners.append(j)
     j = n - 1 if to_end else min((k for k in range(n) if at[k] > at[-1] - window), key=lambda k: (best[k], -k))
     cuts = []
     while j:

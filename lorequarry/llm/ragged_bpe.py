@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -22,10 +23,14 @@ _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[
 #: White space on which Python and the library might differ; where it occurs, words are cut at plain ASCII white space only.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]").search
 _ASCII_SPACE = re.compile(r"[ \t\n\r\f\v]+")
+#: Characters whose lower case may be several letters or depend on their neighbours.
+_BEYOND = re.compile("[^\x00-\x7e\xc0-\u012f\u0131-\u017f]").search
 
 
 def words_of(text: str) -> list[str]:
-    """The text's words between ASCII white space; no pre-token ever reaches across it."""
+    """The text's words between ASCII white space; no pre-token ever reaches across it. Lower-cased where that is the vocabulary's own step."""
+    if "<|" not in text and not _BEYOND(text):
+        text = text.lower()
     if _ODD_SPACE(text):
         return [w for w in _ASCII_SPACE.split(text) if w]
     return text.split()
@@ -53,7 +58,7 @@ class _Numbered(dict):
 class RaggedBpe:
     """Token ids of words by a lower-casing word-end BPE vocabulary file, with a bounded cache of words."""
 
-    def __init__(self, path: str, cache_words: int = 600_000):
+    def __init__(self, path: str, cache_words: int = 1_200_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -155,8 +160,6 @@ class RaggedBpe:
         return ids[np.repeat(starts - base, count) + np.arange(ids.size)], count
 
     def _pieces(self, word: str) -> list[bytes]:
-        if _LETTERS(word):
-            return [word.lower().encode()]
         if _SIMPLE(word):
             return [p.encode() for p in _PIECES(word.lower())]
         split = self._tok.pre_tokenizer.pre_tokenize_str(self._tok.normalizer.normalize_str(word))
@@ -167,8 +170,12 @@ class RaggedBpe:
         self._lengths, self._starts, self._flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        pieces, owner, fixed = [], [], []
+        plain = [k for k, w in enumerate(words) if _LETTERS(w)]  # one piece each; a line break is in no word
+        pieces = "\n".join([words[k] for k in plain]).lower().encode().split(b"\n") if plain else []
+        owner, fixed, known = plain, [], set(plain)
         for k, w in enumerate(words):
+            if k in known:
+                continue
             if "<|" in w and self._special_cut.search(w):  # special strings inside a text are one id, as by the library's default
                 last = 0
                 for m in self._special_cut.finditer(w):
@@ -188,7 +195,12 @@ class RaggedBpe:
         begins = np.cumsum(counts) - counts
         for k, i in fixed:
             ids[begins[k]] = i
-        lengths = np.bincount(np.asarray(owner, np.int64), weights=counts, minlength=len(words)).astype(np.int64)
+        owner = np.asarray(owner, np.int64)
+        lengths = np.bincount(owner, weights=counts, minlength=len(words)).astype(np.int64)
+        order = np.argsort(owner, kind="stable")  # the plain words came first
+        moved = counts[order]
+        ends = np.cumsum(moved)
+        ids = ids[np.repeat(begins[order] - (ends - moved), moved) + np.arange(ids.size)]
         self._starts = np.append(self._starts, self._flat.size + np.cumsum(lengths) - lengths)
         self._lengths, self._flat = np.append(self._lengths, lengths), np.append(self._flat, ids)
 
@@ -205,7 +217,7 @@ class RaggedBpe:
         """The number of tokens of each text; null counts as empty."""
         each = [words_of(t) if t else [] for t in texts]
         n = np.fromiter(map(len, each), np.int64, len(each))
-        index = self._index([w for ws in each for w in ws])
+        index = self._index(list(chain.from_iterable(each)))
         total = np.r_[0, np.cumsum(self._lengths[index])]
         ends = np.cumsum(n)
         return total[ends] - total[ends - n]
@@ -214,7 +226,7 @@ class RaggedBpe:
         """The token ids of each text."""
         each = [words_of(t) if t else [] for t in texts]
         n = np.fromiter(map(len, each), np.int64, len(each))
-        index = self._index([w for ws in each for w in ws])
+        index = self._index(list(chain.from_iterable(each)))
         lengths = self._lengths[index]
         total = np.r_[0, np.cumsum(lengths)]
         flat = self._flat[np.repeat(self._starts[index] - total[:-1], lengths) + np.arange(total[-1])]
