@@ -87,20 +87,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = rowed.join(per_row, "__row", "left")
     there = _marked(met.where("__asked is not null").select("__row", "__asked", text_col), text_col)
     spans = F.map_from_entries(F.transform(_chunks(), lambda s: F.struct(s["k"], s)))
-    told = there.withColumn("__spans", spans).select("__row", F.explode(F.transform("__asked", lambda a: F.struct(a["k"].alias("k"), a["c"].alias("c"), a["is_first"].alias("is_first"), _text(F.element_at(F.col("__spans"), a["k"])).alias("bytes")))).alias("x")).select("__row", "x.*").distinct()
+    span = lambda a: F.element_at(F.col("__spans"), a["k"])
+    told = there.withColumn("__spans", spans).select("__row", F.explode(F.transform("__asked", lambda a: F.struct(a["k"].alias("k"), a["c"].alias("c"), a["is_first"].alias("is_first"), span(a)["n"].alias("n"), _text(span(a)).alias("bytes")))).alias("x")).select("__row", "x.*").distinct()
     firsts = told.where("is_first").select("c", F.col("bytes").alias("first_bytes")).distinct()
-    gone = skew_join(told.where("not is_first"), firsts, "c").where("bytes = first_bytes").groupBy("__row").agg(F.collect_set("k").alias("__gone"))
+    gone = skew_join(told.where("not is_first"), firsts, "c").where("bytes = first_bytes").groupBy("__row").agg(F.collect_set(F.struct("k", "n")).alias("g"))
+    # Sums are taken here, so that a filter on them needs none of the work below.
+    gone = gone.select("__row", F.transform("g", lambda x: x["k"]).alias("__gone"), F.size("g").alias("__chunks"), F.aggregate("g", F.lit(0), lambda n, x: n + x["n"]).alias("__sum"))
 
     out = _marked(met.drop("__asked").join(gone, "__row", "left"), text_col)
-    spans_all = F.filter(_chunks(), lambda s: F.coalesce(F.array_contains("__gone", s["k"]), F.lit(False)))
-    out = out.withColumn("__out", spans_all)
     ends, lines = F.col("__ends"), F.col("__lines")
     # Each chunk that stays is joined with line breaks, and they again; so no line is looked at twice.
     pieces = F.transform(ends, lambda x, k: F.when(F.coalesce(F.array_contains("__gone", k), F.lit(False)), None).otherwise(F.array_join(F.slice(lines, _start(k) + 1, x["e"] - _start(k) + 1), "\n")))
     known = F.col(text_col).isNotNull()
     cleaned = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(pieces, lambda p: p.isNotNull()), "\n"))
     out = out.withColumn("n_lines", F.when(known, F.size(lines)).otherwise(0).cast("long")).withColumn("n_chunks", F.when(known, F.size(ends)).otherwise(0).cast("long"))
-    out = out.withColumn("removed_chunks", F.size("__out").cast("long")).withColumn("removed_lines", F.aggregate("__out", F.lit(0), lambda a, s: a + s["n"]).cast("long"))
+    out = out.withColumn("removed_chunks", F.coalesce("__chunks", F.lit(0)).cast("long")).withColumn("removed_lines", F.coalesce("__sum", F.lit(0)).cast("long"))
     return out.withColumn(text_col, cleaned).select(*docs.columns, *added)
 
 
