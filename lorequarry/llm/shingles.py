@@ -37,8 +37,10 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """The hash of the n-gram that begins at each word; the last n - 1 are cut off by the array's end."""
-    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    """The hash of the n-gram that begins at each word; the last n - 1 are cut off by the array's end. Fewer than n words have none."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
         out = mix(out + words[k : len(words) - n + 1 + k] * _K[k % 5])
     return out

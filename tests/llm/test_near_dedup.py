@@ -107,6 +107,16 @@ def test_shingles_match_the_definition():
             assert len(shingle_sets([t], n)[0]) == len(brute.shingles(t, n))
 
 
+def test_a_few_words_alone_have_one_shingle(spark):
+    for k in range(8):
+        for n in (3, 5):
+            t = " ".join("abcdefgh"[:k])
+            assert len(shingle_sets([t], n)[0]) == len(brute.shingles(t, n))
+    rows = [(i, "one two three" if i % 2 else "one two three four") for i in range(40)] + [(40, "one two three"), (41, "one two three ")]
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"), num=80, den=100, words=5)
+    assert {i: r["component_id"] for i, r in got.items()} == {i: 1 if t.split() == ["one", "two", "three"] else 0 for i, t in rows}
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, k) for k in range(5001, 5200)] + [(7, 7)]
