@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.llm.common import blocks
-from lorequarry.llm.shingles import ngram_hashes
+from lorequarry.llm.shingles import hashes_of, ngram_hashes
 
 #: Words of a seed, and consecutive n-grams of an item of which the rarest is a seed.
 SEED_WORDS, STRETCH = 3, 3
@@ -25,22 +24,9 @@ BLOCK_BYTES = 32_000_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_CACHE = _Hashes()
-
-
 def folded_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words without case and ASCII punctuation, and each text's number of words."""
-    if len(_CACHE) > 800_000:
-        _CACHE.clear()
-    each = [t.encode("utf-8", "surrogatepass").translate(_FOLD).split() if t else [] for t in texts]
-    n = np.fromiter(map(len, each), np.int64, len(each))
-    return np.fromiter(map(_CACHE.__getitem__, (w for ws in each for w in ws)), np.uint64, int(n.sum())), n
+    return hashes_of([t.encode("utf-8", "surrogatepass").translate(_FOLD).split() if t else [] for t in texts])
 
 
 class Items:

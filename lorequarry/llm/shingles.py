@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _END = np.uint64(0x5851F42D4C957F2D)
+#: Words whose hashes a worker keeps; beyond, it begins anew.
+CACHE_WORDS = 400_000
 
 
 class _Hashes(dict):
-    """64-bit hashes of words; emptied when it holds too many."""
+    """64-bit hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)
@@ -20,6 +24,14 @@ class _Hashes(dict):
 _CACHE = _Hashes()
 
 
+def hashes_of(each: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' words in one array, and each text's number of words."""
+    if len(_CACHE) > CACHE_WORDS:
+        _CACHE.clear()
+    n = np.fromiter(map(len, each), np.int64, len(each))
+    return np.fromiter(map(_CACHE.__getitem__, chain.from_iterable(each)), np.uint64, int(n.sum())), n
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -29,11 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, of all texts in one array, and each text's number of words."""
-    if len(_CACHE) > 1_000_000:
-        _CACHE.clear()
-    each = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]  # on bytes, both touch ASCII only
-    n = np.fromiter(map(len, each), np.int64, len(each))
-    return np.fromiter(map(_CACHE.__getitem__, (w for ws in each for w in ws)), np.uint64, int(n.sum())), n
+    return hashes_of([t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts])  # on bytes, both touch ASCII only
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
