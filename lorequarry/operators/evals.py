@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.functions.text import terms
+from lorequarry.operators.common import small
 
 
 def containing(pages: DataFrame, items: DataFrame) -> DataFrame:
     """query_id, page_id of every page whose text contains an item's text (items: query_id, text).
 
     A phrase of up to six inner terms of the item is looked for by an equi-join with the pages' phrases, and what is found is
-    held against the whole text; so there is no comparison of each page with each item. Items of fewer than three terms have no
-    inner phrase and are left out.
+    held against the whole text; so there is no comparison of each page with each item, and where the items are few enough to be
+    broadcast, no phrase of a page is shuffled. Items of fewer than three terms have no inner phrase and are left out.
     """
     ts = terms(F.col("text"))
     asked = items.select("query_id", F.col("text").alias("item"), ts.alias("ts")).where(F.size("ts") >= 3).withColumn("n", F.least(F.lit(6), F.size("ts") - 2)).withColumn("phrase", F.array_join(F.slice("ts", F.lit(2), F.col("n")), " "))
@@ -23,7 +24,7 @@ def containing(pages: DataFrame, items: DataFrame) -> DataFrame:
         own = asked.where(F.col("n") == n)
         t = pages.select("page_id", "text", ts.alias("ts"))
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ts") - n + 1), lambda i: F.array_join(F.slice("ts", i, n), " ")))
-        found = t.where(F.size("ts") >= n).select("page_id", F.explode(grams).alias("phrase")).join(own.select("query_id", "phrase", "item"), "phrase")
+        found = t.where(F.size("ts") >= n).select("page_id", F.explode(grams).alias("phrase")).join(small(own.select("query_id", "phrase", "item")), "phrase")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return items.join(pages, F.lit(False)).select("query_id", "page_id")
