@@ -374,4 +374,11 @@ select query_id, expected, found, found > 0 as hit, round(coalesce(1.0 / best, 0
     "bundle_resources": f"""with c as (select doc_id::varchar as page_id, {_CLEAN} as clean from documents)
 select page_id, 'wiki://page/' || page_id as uri, page_id as name, 'snapshot/wiki/' || page_id || '.md' as path, sha256(clean) as content_sha256 from c""",
     "query_log_windows": """select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type as profile, count(*) as queries, count(*) filter (not coalesce(value > 50, false)) as empty from events group by all""",
+    "section_spans": rf"""with m as (select doc_id as page_id, '# ' || regexp_replace(substr(text, 1, 60), '[#\n]+', ' ', 'g') || chr(10) || 'body' || chr(10) || '## ' || lang || chr(10) || text as text from documents),
+l as (select page_id, size, k, ls[k] as line from (select page_id, length(text) as size, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as k from m)),
+pl as (select *, coalesce(sum(length(line) + 1) over (partition by page_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as start_off from l),
+hd as (select *, length(regexp_extract(line, '^(#+)', 1))::int as level, regexp_extract(line, '^#+\s+(.*?)\s*#*\s*$', 1) as heading from pl where regexp_matches(line, '^#{{1,6}}\s+\S')),
+o as (select page_id, (row_number() over (partition by page_id order by k))::int as section_no, level, start_off, coalesce(lead(start_off) over (partition by page_id order by k), size)::bigint as end_off, {_SLUG.format("heading")} as slug from hd),
+n as (select *, row_number() over (partition by page_id, slug order by start_off) as n from o) select page_id, section_no, level, start_off, end_off, {_NAMED} as anchor from n""",
+    "context_pack_json": f"""with {_RC} select query_id, to_json({{'chunks': list({{'page_rank': page_rank, 'page_id': page_id, 'chunk_rank': chunk_rank, 'chunk_id': chunk_id, 'start_off': start_off, 'end_off': start_off + kept_chars, 'hash': hash, 'excerpt': substr(chunk, 1, kept_chars)}} order by page_rank, page_id, chunk_rank)}})::varchar as pack from bd group by query_id""",
 }
