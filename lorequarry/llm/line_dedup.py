@@ -63,46 +63,46 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     a hash by accident, those that differ from the first stay. A document all of whose lines went keeps its row with an
     empty text.
 
-    A row is known by its id and a hash of its text: repeated rows are one document and are cleaned alike. Null ids come
+    A document is known by its id and a hash of its text: repeated rows are one document and are cleaned alike. Null ids come
     first in the order and are known by their text. A null text stays null, with 0 lines; added columns replace columns of
     the same name; an empty table gives no rows.
 
-    Plan: chunk hashes are counted by pre-aggregation (numbers only are shuffled); documents with a repeated chunk meet
-    their chunk numbers by row key, which moves each text once; only texts of repeated chunks are moved again, to be
-    compared. Hot chunks are joined by skew_join, never gathered.
+    Plan: chunk hashes are counted by pre-aggregation (numbers only are shuffled). Texts, one a document, are dealt by their
+    key once; the same exchange is read to compare repeated chunks and to cut them out, and the other columns join it there.
+    Hot chunks are joined by skew_join, never gathered.
     """
     added = ("n_lines", "n_chunks", "removed_chunks", "removed_lines")
-    docs = docs.drop(*added)
-    key = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col, F.lit(1)).alias("th"))
-    rowed = docs.withColumn("__id", key["id"]).withColumn("__th", key["th"]).withColumn("__row", F.xxhash64("__id", "__th"))
+    docs, key = docs.drop(*added), ["__id", "__th"]
+    rowed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn("__th", F.xxhash64(text_col, F.lit(1)))
+    texts = rowed.groupBy(*key).agg(F.first(text_col).alias("__text"))
 
-    marked = _marked(rowed.select("__row", "__id", "__th", text_col), text_col)
-    occur = marked.select("__row", "__id", "__th", F.explode(F.transform(_chunks(), lambda s: F.struct(F.xxhash64(_text(s)).alias("c"), s["k"].alias("k")))).alias("x"))
-    occur = occur.select("__row", "__id", "__th", F.col("x.c").alias("c"), F.col("x.k").alias("k")).distinct()
+    marked = _marked(rowed.select(*key, text_col), text_col)
+    occur = marked.select(*key, F.explode(F.transform(_chunks(), lambda s: F.struct(F.xxhash64(_text(s)).alias("c"), s["k"].alias("k")))).alias("x"))
+    occur = occur.select(*key, F.col("x.c").alias("c"), F.col("x.k").alias("k")).distinct()
     order = F.struct(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("k").alias("k"))
     repeated = occur.groupBy("c").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").drop("n")
-    asked = skew_join(occur.select("__row", "c", "k", order.alias("o")), repeated, "c").select("__row", F.struct("k", "c", (F.col("o") == F.col("first")).alias("is_first")).alias("x"))
-    per_row = asked.groupBy("__row").agg(F.array_sort(F.collect_list("x")).alias("__asked"))  # at most a document's chunks
+    asked = skew_join(occur.select(*key, "c", "k", order.alias("o")), repeated, "c").select(*key, F.struct("k", "c", (F.col("o") == F.col("first")).alias("is_first")).alias("x"))
+    per_row = asked.groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias("__asked"))  # at most a document's chunks
 
-    met = rowed.join(per_row, "__row", "left")
-    there = _marked(met.where("__asked is not null").select("__row", "__asked", text_col), text_col)
+    met = texts.join(per_row, key, "left")
+    there = _marked(met.where("__asked is not null"), "__text")
     spans = F.map_from_entries(F.transform(_chunks(), lambda s: F.struct(s["k"], s)))
     span = lambda a: F.element_at(F.col("__spans"), a["k"])
-    told = there.withColumn("__spans", spans).select("__row", F.explode(F.transform("__asked", lambda a: F.struct(a["k"].alias("k"), a["c"].alias("c"), a["is_first"].alias("is_first"), span(a)["n"].alias("n"), _text(span(a)).alias("bytes")))).alias("x")).select("__row", "x.*").distinct()
-    firsts = told.where("is_first").select("c", F.col("bytes").alias("first_bytes")).distinct()
-    gone = skew_join(told.where("not is_first"), firsts, "c").where("bytes = first_bytes").groupBy("__row").agg(F.collect_set(F.struct("k", "n")).alias("g"))
+    told = there.withColumn("__spans", spans).select(*key, F.explode(F.transform("__asked", lambda a: F.struct(a["k"].alias("k"), a["c"].alias("c"), a["is_first"].alias("is_first"), span(a)["n"].alias("n"), _text(span(a)).alias("bytes")))).alias("x")).select(*key, "x.*")
+    firsts = told.where("is_first").select("c", F.col("bytes").alias("first_bytes"))
+    gone = skew_join(told.where("not is_first"), firsts, "c").where("bytes = first_bytes").groupBy(*key).agg(F.collect_set(F.struct("k", "n")).alias("g"))
     # Sums are taken here, so that a filter on them needs none of the work below.
-    gone = gone.select("__row", F.transform("g", lambda x: x["k"]).alias("__gone"), F.size("g").alias("__chunks"), F.aggregate("g", F.lit(0), lambda n, x: n + x["n"]).alias("__sum"))
+    gone = gone.select(*key, F.transform("g", lambda x: x["k"]).alias("__gone"), F.size("g").alias("__chunks"), F.aggregate("g", F.lit(0), lambda n, x: n + x["n"]).alias("__sum"))
 
-    out = _marked(met.drop("__asked").join(gone, "__row", "left"), text_col)
+    out = _marked(met.drop("__asked").join(gone, key, "left"), "__text")
     ends, lines = F.col("__ends"), F.col("__lines")
     # Each chunk that stays is joined with line breaks, and they again; so no line is looked at twice.
     pieces = F.transform(ends, lambda x, k: F.when(F.coalesce(F.array_contains("__gone", k), F.lit(False)), None).otherwise(F.array_join(F.slice(lines, _start(k) + 1, x["e"] - _start(k) + 1), "\n")))
-    known = F.col(text_col).isNotNull()
-    cleaned = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(pieces, lambda p: p.isNotNull()), "\n"))
-    out = out.withColumn("n_lines", F.when(known, F.size(lines)).otherwise(0).cast("long")).withColumn("n_chunks", F.when(known, F.size(ends)).otherwise(0).cast("long"))
-    out = out.withColumn("removed_chunks", F.coalesce("__chunks", F.lit(0)).cast("long")).withColumn("removed_lines", F.coalesce("__sum", F.lit(0)).cast("long"))
-    return out.withColumn(text_col, cleaned).select(*docs.columns, *added)
+    known = F.col("__text").isNotNull()
+    out = out.withColumn("__clean", F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.filter(pieces, lambda p: p.isNotNull()), "\n")))
+    numbers = [F.when(known, F.size(lines)).otherwise(0), F.when(known, F.size(ends)).otherwise(0), F.coalesce("__chunks", F.lit(0)), F.coalesce("__sum", F.lit(0))]
+    out = out.select(*key, "__clean", *(n.cast("long").alias(c) for n, c in zip(numbers, added, strict=True)))
+    return rowed.drop(text_col).join(out, key).withColumnRenamed("__clean", text_col).select(*docs.columns, *added)
 
 
 ORACLE = """
