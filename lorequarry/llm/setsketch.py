@@ -237,21 +237,23 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     members = materialize(skew_join(keys, sizes, "key"), "members")  # key, rep, band, n, leader
     stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(rows.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
+    # by a shuffle at every size: ids of near copies grow with the corpus, so no plan may rest on their being few
+    texts = materialize(rows.join(involved.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
     links = materialize(confirm(stars, texts, num, den, words), "links")
     # Rows of one id with different sets share that id as a node; a representative with another id than its row is linked by its set.
     tested, top, open_rows = materialize(stars, "tested"), 4, None
     labels = materialize(connected_components(links), "labels")
+    active = members.where("n > 2").select("key", "rep", "band", "n")  # the only pair of a bucket of two has been confirmed or refuted already
     while True:
-        # the only pair of a bucket of two has been confirmed or refuted already
-        marked = members.where("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        if open_rows is None:
-            marked = marked.withColumn("open", F.lit(True))
-        else:
-            marked = marked.join(open_rows.withColumn("open", F.lit(True)), "rep", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        state = labels.withColumnRenamed("node", "rep")
+        state = state.withColumn("open", F.lit(True)) if open_rows is None else state.join(open_rows.withColumn("open", F.lit(True)), "rep", "full")
+        known = F.coalesce("open", F.lit(open_rows is None))
+        marked = materialize(active.join(state, "rep", "left").select("key", "rep", "band", "n", F.coalesce("component", "rep").alias("component"), known.alias("open")), "marked")
         mixed = marked.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("open").alias("any")).where("c0 < c1 and any").select("key")
+        # Components only grow together, and open rows have been asked before: no other bucket is needed again.
+        active = materialize(skew_join(marked, mixed, "key"), "active")
         blk = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-        searched = skew_join(marked, mixed, "key").withColumn("nb", blk).withColumn("blk", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
+        searched = active.withColumn("nb", blk).withColumn("blk", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
         dealt = (
             searched.join(reps.select("rep", "n_shingles", "registers", "sample"), "rep")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -270,7 +272,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
         open_rows = found.where("a = b").select(F.col("a").alias("rep"))
         if open_rows.isEmpty():
             break
-        top *= 8
+        active, top = active.select("key", "rep", "band", "n"), top * 8
     named = reps.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     linked = skew_join(full.select("doc_id", "n_shingles", "set_key"), named, "set_key").select("doc_id", "n_shingles", "component_id")
     alone = base.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
