@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     work = tmp_path_factory.mktemp("spark")
-    builder = SparkSession.builder.master("local[2]").appName("tests")
+    builder = SparkSession.builder.master("local[8]").appName("tests")
     conf = {
         "spark.sql.shuffle.partitions": "4",
         "spark.default.parallelism": "4",
