@@ -53,7 +53,7 @@ class Items:
         first[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
         kept = order[first]
         kept = kept[np.argsort(self.gram[kept], kind="stable")]
-        self.gram, self.item, self.place, self.df = self.gram[kept], self.item[kept], self.place[kept], f[kept]
+        self.gram, self.item, self.place = self.gram[kept], self.item[kept], self.place[kept]
 
 
 def found_in(grams: np.ndarray, wanted: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -96,8 +96,8 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end_a, end_b
 
 
-def _passages(items: Items, words: np.ndarray, counts: np.ndarray, rows: int, mask: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Candidate windows (document, item, from, to) of words: stretches where an item's seeds lie near one diagonal."""
+def _passages(items: Items, words: np.ndarray, counts: np.ndarray, mask: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Candidate windows (document, item, from, to) of words: stretches where an item's seeds lie near one diagonal, one seed or more."""
     grams = ngram_hashes(words, SEED_WORDS)
     ends = np.cumsum(counts)
     at = found_in(grams, items.gram, mask)
@@ -110,7 +110,7 @@ def _passages(items: Items, words: np.ndarray, counts: np.ndarray, rows: int, ma
     item = items.item[hit]
     start = at - items.place[hit]
     order = np.lexsort((start, item, doc))
-    doc, item, start, hit = doc[order], item[order], start[order], hit[order]
+    doc, item, start = doc[order], item[order], start[order]
     if not doc.size:
         return []
     length = np.array([len(w) for w in items.words], np.int64)[item]
@@ -120,14 +120,27 @@ def _passages(items: Items, words: np.ndarray, counts: np.ndarray, rows: int, ma
     last = np.append(first[1:], doc.size) - 1
     out = []
     for f, z in zip(first.tolist(), last.tolist(), strict=True):
-        if z == f and items.df[hit[f]] > rows * 0.002 + 20:
-            continue  # one seed, and a frequent one: not enough of an item that has other seeds
         d, i, k = int(doc[f]), int(item[f]), int(length[f])
         begin, end = int(ends[d] - counts[d]), int(ends[d])
         out.append((d, i, max(begin, int(start[f]) - k // 3 - 2), min(end, int(start[z]) + k + k // 3 + 2)))
     return out
 
 
+def _within_reach(items: Items, words: np.ndarray, found: list[tuple[int, int, int, int]], least_share: float) -> list[tuple[int, int, int, int]]:
+    """Those of the windows found that may score a leak: each match uses up a word of the item that is in the window, so an
+    alignment scores at most MATCH times their number. Two words under one key only raise that bound; so no leak is lost."""
+    if not found:
+        return []
+    part = np.arange(len(found), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own = [items.words[i] for _, i, _, _ in found]
+    sizes, wide = np.array([a.size for a in own]), np.array([t - f for _, _, f, t in found])
+    keys = np.concatenate(own) ^ np.repeat(part, sizes)
+    there = np.isin(keys, np.concatenate([words[f:t] for _, _, f, t in found]) ^ np.repeat(part, wide))
+    most = MATCH * np.add.reduceat(there, np.cumsum(sizes) - sizes, dtype=np.int64)
+    may = (most >= LEAST_SCORE) & (most / (MATCH * sizes) >= least_share)
+    return [p for p, m in zip(found, may.tolist(), strict=True) if m]
+
+
 def _frequencies(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
     """In how many documents each wanted n-gram occurs: sums by partition, then by n-gram; at most as many rows as n-grams of the benchmark block."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -169,17 +182,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     total = wanted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // BLOCK_BYTES))
     out = spark.createDataFrame([], "doc_id long, item_id long, score long, share double, first_word long, end_word long")
-    n_docs = rows.count()
     for part in range(parts):
         own = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else wanted
         items = Items([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()])  # about BLOCK_BYTES at most
         if items.gram.size:
             items.choose(_frequencies(rows, items.all))
-            out = out.unionByName(_aligned(rows, items, n_docs, least_share)) if part else _aligned(rows, items, n_docs, least_share)
+            out = out.unionByName(_aligned(rows, items, least_share)) if part else _aligned(rows, items, least_share)
     return out
 
 
-def _aligned(rows: DataFrame, items: Items, n_docs: int, least_share: float) -> DataFrame:
+def _aligned(rows: DataFrame, items: Items, least_share: float) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +201,7 @@ def _aligned(rows: DataFrame, items: Items, n_docs: int, least_share: float) ->
             words, counts = folded_words(texts)
             begins = np.cumsum(counts) - counts
             ids = batch.column(0).to_pylist()
-            found = _passages(items, words, counts, n_docs, mask)
+            found = _within_reach(items, words, _passages(items, words, counts, mask), least_share)
             best: dict[tuple[int, int], tuple] = {}
             found.sort(key=lambda p: p[3] - p[2])
             start = 0

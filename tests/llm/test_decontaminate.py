@@ -69,6 +69,16 @@ def test_a_passage_in_very_many_documents(spark):
     assert leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 3000
 
 
+def test_edited_copies_with_one_seed_of_a_very_common_item(spark):
+    item = [f"rare{i}" for i in range(20)]
+    edited = ["changed" if i in (1, 8, 11, 14, 17) else w for i, w in enumerate(item)]  # of each stretch but one, every n-gram is broken
+    say = lambda d, w: (d, " ".join([*(f"before{d}x{k}" for k in range(30)), *w, *(f"after{d}x{k}" for k in range(30))]))
+    docs = [say(d, item if d % 3 == 0 else edited if d % 100 == 1 else []) for d in range(600)]
+    rows = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    want = {d: 25 if d % 3 else 40 for d in range(600) if d % 3 == 0 or d % 100 == 1}
+    assert {r["doc_id"]: r["score"] for r in rows} == want and len(rows) == len(want)
+
+
 def test_large_benchmarks_go_in_blocks(spark, monkeypatch):
     docs, items, truth, _, _ = scene(spark)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
