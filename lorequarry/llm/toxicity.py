@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.llm.common import blocks, id_fold
-from lorequarry.llm.shingles import mix
 
 #: Most labelled rows that the lexicon and the weights are learned from, chosen by a hash of their id.
 MAX_TRAIN = 20_000
@@ -128,15 +127,14 @@ def _stems(text: str) -> set[str]:
 
 
 def _signature(text: str) -> int:
-    """Of near copies nearly always the same: the least hash of their words."""
-    words = set(text.lower().split())
+    """Of copies the same, whatever their case and white space: a hash of all words in their order."""
     import xxhash
 
-    return int(mix(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))).min().astype(np.int64)) if words else 0
+    return int(np.uint64(xxhash.xxh3_64_intdigest(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"))).astype(np.int64))
 
 
 def sample(docs: DataFrame, labels: DataFrame, chosen, max_train: int) -> DataFrame:
-    """Up to about max_train labelled rows (text, toxic), one of each group of near copies, chosen by a hash of the id."""
+    """Up to about max_train labelled rows (doc_id, text, toxic), chosen by a hash of the id; train() keeps one of each group of copies."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(chosen & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, max_train / max(1, known.count()))
@@ -146,7 +144,10 @@ def sample(docs: DataFrame, labels: DataFrame, chosen, max_train: int) -> DataFr
 
 
 def train(rows: DataFrame) -> tuple[dict[str, float], np.ndarray]:
-    """The lexicon's stems with their log-odds, and the weights of FEATURES (the last is the bias), from sample()'s rows."""
+    """The lexicon's stems with their log-odds, and the weights of FEATURES (the last is the bias), from sample()'s rows.
+
+    Of rows with one label and the same words in the same order the one with the least id is learned from; all other rows count.
+    """
     from lorequarry.llm.common import materialize
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

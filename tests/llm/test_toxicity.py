@@ -54,6 +54,17 @@ def test_held_out_labels_teach_nothing(spark):
     assert a[0] == b[0] and np.allclose(a[1], b[1])
 
 
+def test_only_copies_collapse_before_training(spark, monkeypatch):
+    from lorequarry.llm import common
+
+    kept, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: kept.append(write(df, name)) or kept[-1])
+    texts = [f"{i}first {i}second so they said {i}third it was" for i in range(200)]  # of eight words, five are common
+    rows = [(i, t, i % 2) for i, t in enumerate(texts)] + [(1000 + i, texts[i].upper().replace(" ", "\n "), i % 2) for i in range(50)]
+    train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert sorted(r["doc_id"] for r in kept[0].collect()) == list(range(200))
+
+
 def test_the_query(spark, sf_dir):
     rows = queries.op5_toxicity(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
