@@ -205,6 +205,19 @@ def test_containment_and_metrics(spark):
     assert [tuple(r) for r in evals.containing(pages, items).collect()] == [(7, 1)]
 
 
+def test_containment_of_items_without_an_inner_phrase(spark, monkeypatch):
+    texts = {"a": "私は東京都に住んでいます", "b": "one two, three", "c": "none of it", "d": "", "e": None, "f": "Alone two threes: 東京"}
+    asked = {1: "東京都", 2: "one two", 3: "東京", 4: "lone", 5: ",", 6: "", 7: None, 8: "one two, three", 9: "One", 10: "two three"}
+    pages = spark.createDataFrame(list(texts.items()), "page_id string, text string")
+    items = spark.createDataFrame(list(asked.items()), "query_id int, text string")
+    want = sorted((q, p) for q, x in asked.items() for p, t in texts.items() if x is not None and t is not None and x in t)
+    for few, block in ((16, 1000), (0, 1000), (0, 8)):
+        monkeypatch.setattr(evals, "FEW", few)
+        monkeypatch.setattr(evals, "BLOCK_BYTES", block)
+        assert sorted(tuple(r) for r in evals.containing(pages, items).collect()) == want
+    assert sorted(tuple(r) for r in evals.containing(pages, items.where("query_id < 4")).collect()) == [x for x in want if x[0] < 4]
+
+
 def test_rendering_of_empty_and_null_pages(spark):
     rows = spark.createDataFrame([(1, None, None, None, None), (2, "t", "[[1]] & <b>", "en", "s")], "page_id int, title string, text string, lang string, source string")
     got = {r["page_id"]: r["html"] for r in publish.rendered(rows).collect()}
