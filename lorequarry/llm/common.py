@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it in spark.checkpoint.dir; a private one is made only where that is unset."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a local master may do without: it gets a private folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lorequarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,11 +35,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends at files that survive a lost executor."""
-    path = shared_path(df.sparkSession, name)
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df to the shared folder (or to path) and read it back: the lineage ends at files that survive a lost executor."""
+    path = path or shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_fold(column: str, folds: int) -> Column:
@@ -68,11 +81,6 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     return left.withColumn(h, F.xxhash64(key)).join(right.withColumn(h, F.xxhash64(key)), [key, h], how).drop(h)
 
 
-def write_path(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The runs of rows that agree in the first keys columns (integers, without nulls), of batches that are sorted by them."""
     held: list[pa.RecordBatch] = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import materialize, skew_join
+from lorequarry.llm.common import discard, materialize, skew_join
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = skew_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = skew_join(large, down, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        now = materialize(small.where("u <> v").distinct(), "edges")
+        before, now = now, materialize(small.where("u <> v").distinct(), "edges")
+        discard(before)
         last, seen = seen, _signature(now)
         if last == seen:
             break

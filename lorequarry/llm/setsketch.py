@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,16 +11,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import blocks, groups, materialize, skew_join
+from lorequarry.llm.common import blocks, discard, groups, materialize, skew_join
 from lorequarry.llm.components import connected_components
 from lorequarry.llm.shingles import mix, shingle_sets
 
 #: Registers of a sketch, the base of their exponential scale and the rate that shifts it into one byte.
-REGISTERS, BASE, RATE = 256, 1.2, 20.0
-#: Bands and registers in each. At similarity 0.85 a register agrees with probability 0.86, so that no band agrees in 3e-6 of pairs.
+REGISTERS, BASE, RATE = 256, 1.08, 20.0
+#: Bands and registers in each. At similarity 0.85 a register agrees with probability 0.853, so that no band agrees in 9e-6 of pairs. Registers of
+#: unrelated sets agree with probability 0.02; the base is so fine that few of those share a bucket: their number grows with the square of the rows.
 BANDS, BAND_ROWS = 24, 6
-#: Rows of a bucket compared in one task; larger buckets are dealt out as pairs of blocks.
+#: Rows of a bucket compared in one task; larger buckets are dealt out as blocks of asked rows by blocks of all rows.
 BLOCK_ROWS = 2048
+#: Sets that are held against one copy of their leader's set.
+GROUP_ROWS = 64
 #: Least shingle hashes kept of a set (32 bits of each); smaller sets are kept whole.
 SAMPLE = 512
 
@@ -57,8 +59,8 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(out, 0, 255).astype(np.uint8).reshape(n, m)
 
 
-def likely(mine: np.ndarray, size: float, others: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Joint estimation of one sketch against many: which likelihood maxima lie at a similarity of least or more, and how steeply.
+def likely(mine: np.ndarray, size: float | np.ndarray, others: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Joint estimation of one sketch against many, or of each against its other: which likelihood maxima lie at a similarity of least or more, and how steeply.
 
     Of the registers, plus are larger in mine, minus smaller, the rest equal. With p(x) = -log_b(1 - x (b-1)/b) and the
     relative sizes u + v = 1, the log-likelihood plus log p(u - vJ) + minus log p(v - uJ) + equal log(1 - p - p) is concave
@@ -94,7 +96,7 @@ def sampled(mine: np.ndarray, whole: bool, other: np.ndarray, other_whole: bool,
 
 
 def sketches(docs: DataFrame, words: int = 3) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_key (16 bytes, null for empty sets), registers and sample (the set's least hashes)."""
+    """Per row (doc_id, th, text): doc_id, th, n_shingles, set_key (16 bytes, null for empty sets) and registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
@@ -102,37 +104,64 @@ def sketches(docs: DataFrame, words: int = 3) -> DataFrame:
             reg = sketch(sets)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             rows = [r.tobytes() if k else None for r, k in zip(reg, keys, strict=True)]
-            some = [(s[:SAMPLE] >> np.uint64(32)).astype(np.uint32).tobytes() if k else None for s, k in zip(sets, keys, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary()), pa.array(some, pa.binary())], names=["doc_id", "n_shingles", "set_key", "registers", "sample"])
+            cols = [batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n_shingles", "set_key", "registers"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary, sample binary")
+    return docs.mapInArrow(run, "doc_id long, th long, n_shingles long, set_key binary, registers binary")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, num: int, den: int, words: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets have den * intersection >= num * union."""
+def _sampled(docs: DataFrame, words: int) -> DataFrame:
+    """node, n_shingles, registers, text of docs with sample, the set's least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict[tuple, np.ndarray] = OrderedDict()
+        for batch, texts in blocks(batches):
+            some = [(s[:SAMPLE] >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sets(texts, words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(some, pa.binary())], names=[*batch.schema.names, "sample"])
+
+    return docs.select("node", "n_shingles", "registers", "text").mapInArrow(run, "node long, n_shingles long, registers binary, text string, sample binary")
 
-        def set_of(k: tuple, text: str) -> np.ndarray:
-            if k not in kept:
-                kept[k] = shingle_sets([text], words)[0]
-                if len(kept) > 64:
-                    kept.popitem(last=False)
-            return kept[k]
 
+def likely_pairs(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose registers' likelihood has its maximum at least or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                d, out = part.to_pydict(), []
-                for a, b, ta, tb in zip(d["a"], d["b"], d["ta"], d["tb"], strict=True):
-                    x, y = set_of((a, hash(ta)), ta), set_of((b, hash(tb)), tb)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    out.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, REGISTERS) for c in (2, 4))
+            fit, _ = likely(x, batch.column(3).to_numpy().astype(float), y, batch.column(5).to_numpy().astype(float), least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fit))
+
+    own = reps.select("node", "registers", "n_shingles")
+    both = pairs
+    for c in ("a", "b"):  # merge joins at every size: registers grow with the corpus
+        both = skew_join(both, own.select(F.col("node").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}")).hint("merge"), c)
+    return both.select("a", "b", "ra", "na", "rb", "nb").mapInArrow(run, "a long, b long")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, num: int, den: int, words: int) -> DataFrame:
+    """Of pairs (a, b), those whose full sets have den * intersection >= num * union. texts: node, text; one row a node.
+
+    Pairs are dealt by a in groups of about GROUP_ROWS; a's text goes once to each of its groups, before those of the others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.uint64)
+        for batch in batches:
+            for part, some in blocks([batch]):
+                out, b, sets = [], part.column(1).to_pylist(), shingle_sets(some, words)
+                for k, x in zip(b, sets, strict=True):
+                    if k is None:
+                        held = x
+                        out.append(False)
+                        continue
+                    both = len(np.intersect1d(held, x, assume_unique=True))
+                    out.append(both > 0 and den * both >= num * (len(held) + len(x) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    with_a = skew_join(pairs, texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = skew_join(with_a, texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("groups"))
+    asked = skew_join(pairs, counts, "a").select(F.col("b").alias("node"), "a", "b", F.pmod(F.xxhash64("b"), "groups").cast("int").alias("part"))
+    heads = counts.select(F.col("a").alias("node"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
+    met = skew_join(asked.unionByName(heads), texts.select("node", "text").hint("merge"), "node").select("a", "b", "part", "text")
+    return met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
 _LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
@@ -149,32 +178,27 @@ def equal_registers(some: np.ndarray, all_: np.ndarray) -> np.ndarray:
 
 
 def _residual(least: float, wanted: float, top: int):
-    """Within a bucket's block or pair of blocks: for rows outside its main component, the likeliest partners in other components.
+    """Within a group (key, i, j) of a bucket's rows: for asked rows (of block j), the likeliest partners in other components (of block i).
 
-    Only pairs with an open row are looked at, and only in the first band in which the two agree. Partners must pass the
-    likelihood test at least and that of the samples at wanted. At most top for each row and component; a row that has more
-    is told as (row, row) and stays open.
+    Only pairs with an open row are looked at, and only in the first band in which the two agree; a pair of two asked rows is
+    looked at where the lesser asks. Partners must pass the likelihood test at least and that of the samples at wanted. At most
+    top for each row and component; a row that has more is told as (row, row) and stays open.
     """
     c = (BASE - 1) / BASE
     # the register agreement expected at least, for equal sizes (it hardly depends on them), less two standard errors
     fewest = REGISTERS * (1 + 2 * math.log1p(-c * (1 - least) / 2) / math.log(BASE)) - 2 * math.sqrt(REGISTERS) / 2
 
     def search(rows: pa.Table) -> pa.RecordBatch:
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
         reg = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint8).reshape(rows.num_rows, REGISTERS)
         samples = [np.frombuffer(x, np.uint32) for x in rows["sample"].to_pylist()]
-        ids, comp, size, blk, open_, band = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles", "blk", "open", "band"))
-        names, counts = np.unique(comp, return_counts=True)
-        asked = comp != names[counts.argmax()]
+        ids, comp, size, open_, band, asks, is_asked, there = (rows[c].to_numpy() for c in ("node", "component", "n_shingles", "open", "band", "asks", "asked", "there"))
         early = reg[:, : BAND_ROWS * int(band[0])].reshape(rows.num_rows, int(band[0]), BAND_ROWS)
         out_a, out_b = [], []
         step = max(1, 65_536 // rows.num_rows)
-        for m in (q[k : k + step] for q in [np.flatnonzero(asked)] for k in range(0, q.size, step)):
+        for m in (q[k : k + step] for q in [np.flatnonzero(asks)] for k in range(0, q.size, step)):
             ok = equal_registers(reg[m], reg) >= fewest
-            ok &= (comp[m][:, None] != comp[None, :]) & (open_[m][:, None] | open_[None, :])
-            ok &= ~asked[None, :] | (ids[None, :] > ids[m][:, None])  # a pair of two rows that are both asked is looked at once
-            if i != j:
-                ok &= blk[m][:, None] != blk[None, :]
+            ok &= there[None, :] & (comp[m][:, None] != comp[None, :]) & (open_[m][:, None] | open_[None, :])
+            ok &= ~is_asked[None, :] | (ids[None, :] > ids[m][:, None])
             for r, mine in zip(m.tolist(), ok, strict=True):
                 at = np.flatnonzero(mine)
                 if not at.size:
@@ -201,20 +225,40 @@ def _residual(least: float, wanted: float, top: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, 3):
-            yield search(rows)
+            if rows["asks"].to_numpy().any():
+                yield search(rows)
 
     return run
 
 
+def _dealt(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """active (key, node, band, component, open) as groups (key, i, j): block i of a bucket's rows with block j of its asked rows.
+
+    A row is asked where it is outside the bucket's main component. Rows of the main component are copied for each block of asked
+    rows, and asked rows for each block of rows; so one stray row in a large bucket adds one row, not a copy of the bucket.
+    """
+    each = active.groupBy("key", "component").agg(F.count("*").alias("m"))
+    main = each.groupBy("key").agg(F.max(F.struct("m", (-F.col("component")).alias("c"))).alias("x"), F.sum("m").alias("n"))
+    main = main.select("key", (-F.col("x.c")).alias("main"), "n", (F.col("n") - F.col("x.m")).alias("strays"))
+    known = skew_join(active, main, "key").join(sets.select("node", "n_shingles", "registers", "sample").hint("merge"), "node")
+    known = known.withColumn("asked", F.col("component") != F.col("main")).withColumn("ni", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("nj", F.ceil(F.col("strays") / BLOCK_ROWS).cast("int"))
+    known = known.withColumn("bi", F.pmod(F.xxhash64("node"), "ni").cast("int")).withColumn("bj", F.pmod(F.xxhash64("node", F.lit(1)), "nj").cast("int"))
+    own = F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: F.struct(F.col("bi").alias("i"), j.alias("j")))
+    other = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: F.struct(i.alias("i"), F.col("bj").alias("j")))
+    groups_of = F.when(F.col("asked"), F.array_union(own, other)).otherwise(own)
+    out = known.withColumn("g", F.explode(groups_of)).select("key", "g.i", "g.j", "node", "component", "n_shingles", "registers", "sample", "open", "band", "asked", (F.col("asked") & (F.col("g.j") == F.col("bj"))).alias("asks"), (F.col("g.i") == F.col("bi")).alias("there"))
+    return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept.
 
     Documents are linked where den * |A and B| >= num * |A or B| for their sets of distinct word shingles; component_id is
     the smallest id reachable by links, and a row is kept where that is its own.
 
-    1. Equal sets become one representative by grouping on a 128-bit key, however many copies there are.
-    2. Representatives that agree in a band meet in its bucket. Every member is confirmed, on full sets, against the bucket's
-       least id: a number of pairs linear in the members. The links give components.
+    1. Equal sets become one node by grouping on a 128-bit key, however many copies there are.
+    2. Nodes that agree in a band meet in its bucket. Every member is held against the bucket's least node, first by the joint
+       likelihood of their registers, then on full sets: a number of pairs linear in the members. The links give components.
     3. Buckets that hold more than one component are searched: rows outside the bucket's main component against all others,
        in blocks, by the likelihood test and by the sets' least hashes (which settle short texts). Likely partners of each
        row in each other component are confirmed, the likeliest first. Rows that have more of them are searched again, for
@@ -222,58 +266,71 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
 
     No pair inside a component is needed, so large groups of copies are not expanded. Documents without words, and rows with
     a null id, are linked with nothing (their component is their own id). Rows of one id are one document: the sets of all
-    its texts link it. Other columns are ignored; an empty table gives no rows.
+    its texts are linked through it, and each row's n_shingles is that of its own text. Other columns are ignored; an empty
+    table gives no rows. Every join has one plan at every size; tables that are done with are deleted.
     """
     spark: SparkSession = docs.sparkSession
     least = max(0.0, num / den - 0.09)  # 4 standard errors of the estimate from 256 registers
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    base = materialize(sketches(rows, words), "sketches")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    base = materialize(sketches(rows.select("doc_id", "th", "text"), words), "sketches")
     full = base.where("set_key is not null and doc_id is not null")
-    reps = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("sample").alias("sample")), "representatives")
+    reps = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    # the numbers are fixed by being written
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("least.doc_id").alias("rep"), F.col("least.th").alias("th"), "n_shingles", "registers"), "representatives")
+
+    # Sets of one id are linked through it. Ids with one set only, nearly all, end at the first aggregate.
+    several = full.select("doc_id", F.xxhash64("set_key").alias("s")).groupBy("doc_id").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).where("s0 < s1").select("doc_id")
+    owned = skew_join(full.select("doc_id", "set_key"), several.hint("merge"), "doc_id").distinct()
+    owned = materialize(skew_join(owned, reps.select("set_key", "node").hint("merge"), "set_key").select("doc_id", "node"), "owned")
+    same_id = skew_join(owned, owned.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
 
     band = [F.xxhash64(F.lit(k), F.substring("registers", 1 + BAND_ROWS * k, BAND_ROWS)) for k in range(BANDS)]
-    keys = reps.select("rep", F.posexplode(F.array(*band)).alias("band", "key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
-    members = materialize(skew_join(keys, sizes, "key"), "members")  # key, rep, band, n, leader
-    stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    # by a shuffle at every size: ids of near copies grow with the corpus, so no plan may rest on their being few
-    texts = materialize(rows.join(involved.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
-    links = materialize(confirm(stars, texts, num, den, words), "links")
-    # Rows of one id with different sets share that id as a node; a representative with another id than its row is linked by its set.
-    tested, top, open_rows = materialize(stars, "tested"), 4, None
-    labels = materialize(connected_components(links), "labels")
-    active = members.where("n > 2").select("key", "rep", "band", "n")  # the only pair of a bucket of two has been confirmed or refuted already
+    keys = reps.select("node", F.posexplode(F.array(*band)).alias("band", "key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
+    members = materialize(skew_join(keys, sizes.hint("merge"), "key"), "members")  # key, node, band, n, leader
+    stars = materialize(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    likely_stars = materialize(likely_pairs(stars, reps, least), "likely")
+    # What is needed as text: the likely pairs' sets, and buckets of more than two (the only pair of a bucket of two is a star).
+    active, stored = members.where("n > 2").select("key", "node", "band"), members
+    involved = likely_stars.select(F.explode(F.array("a", "b")).alias("node")).unionByName(active.select("node")).distinct()
+    wanted = involved.join(reps.select("node", F.col("rep").alias("doc_id"), "th", "n_shingles", "registers").hint("merge"), "node")
+    # Repeated rows collapse before they are shuffled.
+    each = rows.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    texts = materialize(_sampled(each.join(wanted.hint("merge"), ["doc_id", "th"]), words), "texts")
+    links = materialize(confirm(likely_stars, texts, num, den, words).unionByName(same_id), "links")
+    discard(likely_stars)
+    # A star that isn't likely is refuted.
+    tested, top, open_rows = stars, 4, None
+    labels = connected_components(links)
     while True:
-        state = labels.withColumnRenamed("node", "rep")
-        state = state.withColumn("open", F.lit(True)) if open_rows is None else state.join(open_rows.withColumn("open", F.lit(True)), "rep", "full")
+        state = labels
+        state = state.withColumn("open", F.lit(True)) if open_rows is None else state.join(open_rows.withColumn("open", F.lit(True)), "node", "full")
         known = F.coalesce("open", F.lit(open_rows is None))
-        marked = materialize(active.join(state, "rep", "left").select("key", "rep", "band", "n", F.coalesce("component", "rep").alias("component"), known.alias("open")), "marked")
+        marked = materialize(active.join(state, "node", "left").select("key", "node", "band", F.coalesce("component", "node").alias("component"), known.alias("open")), "marked")
         mixed = marked.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("open").alias("any")).where("c0 < c1 and any").select("key")
         # Components only grow together, and open rows have been asked before: no other bucket is needed again.
-        active = materialize(skew_join(marked, mixed, "key"), "active")
-        blk = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-        searched = active.withColumn("nb", blk).withColumn("blk", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
-        dealt = (
-            searched.join(reps.select("rep", "n_shingles", "registers", "sample"), "rep")
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            .select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "rep", "component", "n_shingles", "registers", "sample", "blk", "open", "band")
-            .repartition("key", "i", "j")
-            .sortWithinPartitions("key", "i", "j")
-        )
-        found = materialize(dealt.mapInArrow(_residual(least, num / den, top), "a long, b long").distinct(), "found")
+        asked = materialize(skew_join(marked, mixed, "key"), "active")
+        discard(stored, marked)
+        active, stored = asked.select("key", "node", "band"), asked
+        found = materialize(_dealt(asked, texts).mapInArrow(_residual(least, num / den, top), "a long, b long").distinct(), "found")
         fresh = materialize(found.where("a < b").join(tested, ["a", "b"], "left_anti"), "fresh")
         if not fresh.isEmpty():
             more = materialize(confirm(fresh, texts, num, den, words), "links")
             tested = tested.unionByName(fresh)
             if not more.isEmpty():
                 links = links.unionByName(more)
-                labels = materialize(connected_components(links), "labels")
-        open_rows = found.where("a = b").select(F.col("a").alias("rep"))
+                labels = connected_components(links)
+        open_rows = found.where("a = b").select(F.col("a").alias("node"))
         if open_rows.isEmpty():
             break
-        active, top = active.select("key", "rep", "band", "n"), top * 8
-    named = reps.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    linked = skew_join(full.select("doc_id", "n_shingles", "set_key"), named, "set_key").select("doc_id", "n_shingles", "component_id")
+        top *= 8
+    discard(texts)
+    # A component is named by the least id of its sets.
+    joined = labels.join(reps.select("node", "rep").hint("merge"), "node")
+    least_id = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = reps.select("node", "set_key", "rep").hint("merge").join(skew_join(labels, least_id, "component").select("node", "component_id"), "node", "left")
+    named = materialize(named.select("set_key", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    discard(reps)
+    linked = skew_join(full.select("doc_id", "n_shingles", "set_key"), named.hint("merge"), "set_key").select("doc_id", "n_shingles", "component_id")
     alone = base.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

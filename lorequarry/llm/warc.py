@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import skew_join, write_path
+from lorequarry.llm.common import materialize, skew_join
 
 #: Compressed bytes after which a task begins a new archive, and captures in an index block.
 ARCHIVE_BYTES, BLOCK_LINES = 64_000_000, 1000
@@ -143,7 +143,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
             out.close()
 
     wanted = known.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, _CAPTURE)
-    return write_path(wanted, f"{path}/captures")
+    return materialize(wanted, "captures", f"{path}/captures")
 
 
 def read_archives(captures: DataFrame, path: str) -> DataFrame:
@@ -214,7 +214,7 @@ def build_index(captures: DataFrame, path: str) -> None:
 
     order = ["url_key", "timestamp", "page_id", "archive", "offset"]
     blocks = captures.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "first_key string, last_key string, n long, part int, number int, data binary")
-    stored = write_path(blocks, f"{path}/index")
+    stored = materialize(blocks, "index", f"{path}/index")
     stored.select("first_key", "last_key", "n", "part", "number").write.parquet(f"{path}/directory")
 
 

@@ -76,6 +76,31 @@ def test_odd_rows(spark):
     assert near_duplicates(brute.empty(odd)).count() == 0
 
 
+def test_sets_of_one_id_are_linked_through_it(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (9, a), (7, c), (8, c), (8, a + " x"), (8, a + " x")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(3, 3, True), (5, 3, False), (7, 3, False), (8, 3, False), (9, 3, False)} and len(got) == len(rows)
+
+
+def test_one_id_for_many_texts(spark):
+    rows = [(1, f"only text {i} of " + " ".join(f"w{i}x{k}" for k in range(20))) for i in range(300)] + [(2, "another " * 3 + "one")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1)] * 300 + [(2, 2)]
+
+
+def test_a_stray_row_copies_no_bucket(spark):
+    rows = [(1, n, 0, 0 if n < 500 else n, True) for n in range(501)]
+    active = spark.createDataFrame(rows, "key long, node long, band int, component long, open boolean")
+    sets = spark.range(501).selectExpr("id as node", "10L as n_shingles", "cast('' as binary) as registers", "cast('' as binary) as sample")
+    old, setsketch.BLOCK_ROWS = setsketch.BLOCK_ROWS, 50
+    try:
+        dealt = setsketch._dealt(active, sets).collect()
+    finally:
+        setsketch.BLOCK_ROWS = old
+    assert len(dealt) == 500 + 11 and sum(r["asks"] for r in dealt) == 11 and sum(r["there"] for r in dealt) == 501
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 900, dtype=np.uint64)
