@@ -79,6 +79,70 @@ def test_edited_copies_with_one_seed_of_a_very_common_item(spark):
     assert {r["doc_id"]: r["score"] for r in rows} == want and len(rows) == len(want)
 
 
+def exhaustive(docs, items):
+    """Every (document, item) whose full alignment scores a leak, with its score."""
+    own = {i: folded_words([t])[0] for i, t in items.items()}
+    out = {}
+    for d, t in docs.items():
+        w = folded_words([t])[0]
+        for (i, a), s in zip(own.items(), align(list(own.values()), [w] * len(own))[0].tolist(), strict=True):
+            if s >= decontaminate.needed(len(a)):
+                out[d, i] = s
+    return out
+
+
+def test_recall_of_edited_copies_against_all_alignments(spark, sf_dir):
+    rng = np.random.default_rng(3)
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    plain = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect() if len(r["text"]) < 3000]
+    docs = {}
+    for n, rate in enumerate((0.0, 0.05, 0.1, 0.2, 0.3)):
+        for k, item in enumerate(items.values()):
+            host, words = plain[(n * 40 + k) % len(plain)].split(), item.split()
+            edited = [f"edit{rng.integers(10**6)}" if rng.random() < rate else w for w in words]
+            docs[n * 1000 + k] = " ".join(host[: len(host) // 2] + edited + host[len(host) // 2 :])
+    want = exhaustive(docs, items)
+    rows = leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in rows}
+    assert got.keys() <= want.keys() and len(got) == len(rows)
+    for n in range(5):
+        own = [k for k in want if k[0] // 1000 == n]
+        assert len(own) >= 38 and sum(k in got for k in own) >= 0.99 * len(own)
+    assert sum(got[k] == want[k] for k in got) >= 0.99 * len(got)
+
+
+def test_every_fifth_word_changed_whatever_other_documents_hold(spark):
+    item = [f"w{i}" for i in range(30)]
+    edited = " ".join("other" if i % 5 == 4 else w for i, w in enumerate(item))
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    alone, exact, crowd = [(1, edited)], [(2, " ".join(item))], [(k, f"page {k} of no interest at all") for k in range(10, 400)]
+    for docs in (alone, alone + exact, alone + crowd, alone + exact * 50 + crowd):
+        got = [r["score"] for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect() if r["doc_id"] == 1]
+        assert got == [2 * 24 - 5]  # the last word is outside the alignment
+
+
+def test_short_items_leak_by_their_share(spark):
+    items = {1: "eight words are enough to be an item", 2: "yes", 3: "two words", 4: "", 5: "!?"}
+    docs = {1: "so eight words are enough to be an end", 2: "oh yes indeed", 3: "two other words", 4: "Two, words!", 5: "eight words are not enough", 6: ""}
+    rows = leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in rows} == {(1, 1): 14, (2, 2): 2, (4, 3): 4}
+
+
+def test_short_items_lose_nothing_against_all_alignments(spark):
+    rng = np.random.default_rng(9)
+    say = lambda n: " ".join(rng.choice(list("abcdefg"), n))
+    items, docs = {k: say(1 + k % 12) for k in range(60)}, {k: say(int(rng.integers(1, 40))) for k in range(60)}
+    rows = leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    short = {k for k, t in items.items() if len(t.split()) <= decontaminate.SHORT_ITEM}
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["item_id"] in short} == {k for k in exhaustive(docs, items) if k[1] in short}
+
+
+def test_of_equal_passages_the_first_counts(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    (r,) = leaks(spark.createDataFrame([(1, f"x {item} " + "y " * 50 + item)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert (r["first_word"], r["end_word"], r["share"]) == (1, 21, 1.0)
+
+
 def test_large_benchmarks_go_in_blocks(spark, monkeypatch):
     docs, items, truth, _, _ = scene(spark)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
