@@ -31,28 +31,40 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; those without a letter or text (`und`) go."""
+    """Documents in a learned language stay; those without a letter or text (`und`) go. Repeated rows are judged each.
+
+    Where no row names a language, nothing can be told apart: all documents with a letter stay. An empty table stays empty.
+    """
     rows, back = _plain(docs)
-    found = identify(rows, train(docs, ~held_out()), keep=True)
-    return back(found.where("lang_pred <> 'und'"))
+    model = train(docs, ~held_out())
+    if not model[0]:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return back(identify(rows, model, keep=True).where("lang_pred <> 'und'"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated chunks of lines; documents of which nothing is left go."""
+    """Texts lose their repeated chunks of lines; documents of which nothing is left go.
+
+    Of equal chunks that of the least id stays; repeated rows are one document and are cleaned alike. An empty table stays empty.
+    """
     rows, back = _plain(docs)
     out = back(dedup_lines(rows).where("removed_lines < n_lines or n_lines = 0"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: that with the least id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: that with the least id.
+
+    Rows of one id are one document and stay or go together; rows without an id or a word stay. An empty table stays empty.
+    """
     rows, back = _plain(docs)
     gone = near_duplicates(docs.select("doc_id", "text"), num=80, den=100, words=5).where("not kept").select("doc_id").distinct()
     return back(rows.join(gone, "doc_id", "left_anti"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which a benchmark item leaked go. A row is known by its id and text, so null ids are judged each."""
+    """Documents into which a benchmark item leaked go. A row is known by its id and text, so null ids are judged each, and repeated
+    rows go or stay together. An empty table, of documents or of items, loses nothing."""
     rows, back = _plain(docs)
     keyed = rows.withColumn("__row", F.xxhash64("doc_id", "text"))
     gone = leaks(keyed.select("__row", "text"), table(spark, sf_dir, "benchmark"), id_col="__row").select(F.col("doc_id").alias("__row")).distinct()
@@ -60,7 +72,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of sequences of 4096 tokens."""
+    """What is left, as pieces of sequences of 4096 tokens, in the order of the rows; repeated rows are packed each. No document, no piece."""
     return pack(docs, vocabulary())
 
 

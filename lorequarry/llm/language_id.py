@@ -12,24 +12,27 @@ from pyspark.sql import functions as F
 
 from lorequarry.llm.common import blocks, id_fold
 
-#: Hash slots of character trigrams, characters in a unit of the mixture, and most languages in a document's set.
-SLOTS, UNIT, MOST = 1 << 16, 48, 3
+#: Hash slots of character trigrams, and characters in a unit of the mixture.
+SLOTS, UNIT = 1 << 16, 48
 #: Rounds of expectation-maximisation for each set size, and the smoothing count of a slot.
 ROUNDS, SMOOTH = 12, 0.5
 
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTERS = re.compile(r"[^\W\d_]").finditer  # letters, and numbers such as a half, which are none
 _IS_LETTER: list[np.ndarray] = []
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(m[0].isalpha() for m in _LETTERS(text))
+
+
 def _folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts, each behind a space, non-letters as spaces; and where each text begins."""
     if not _IS_LETTER:
-        _IS_LETTER.append(np.array([chr(c).isalpha() for c in range(0x10000)]))
+        _IS_LETTER.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
     parts = [" " + t.lower() for t in texts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = np.where(codes < 0x10000, _IS_LETTER[0][np.minimum(codes, 0xFFFF)], True)
-    return np.where(letter, codes, np.uint32(32)), np.cumsum(sizes) - sizes
+    return np.where(_IS_LETTER[0][codes], codes, np.uint32(32)), np.cumsum(sizes) - sizes
 
 
 def _slots(codes: np.ndarray) -> np.ndarray:
@@ -75,9 +78,9 @@ def train(docs: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str
 def mixtures(texts: list[str], logp: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's language shares (0 outside its chosen set) and the posterior of each language alone.
 
-    Units of UNIT characters are drawn from one language each. For sets of the 1, 2 ... MOST languages with the largest
-    shares so far, EM finds the shares; the set with the best log-likelihood less half a log of the number of units for each
-    further language is chosen.
+    Units of UNIT characters are drawn from one language each. For sets of the 1, 2, 3 ... languages with the largest shares so
+    far, EM finds the shares; a text's set grows for as long as its log-likelihood, less half a log of the number of units and a
+    constant for each further language, rises. Of equal languages the first by name comes first.
     """
     codes, begins = _folded(texts)
     d, k = len(texts), logp.shape[1]
@@ -106,18 +109,18 @@ def mixtures(texts: list[str], logp: np.ndarray, prior: np.ndarray) -> tuple[np.
 
     shares, _ = em(np.repeat(np.exp(prior)[None, :], d, axis=0))
     ranked = np.argsort(-(shares + 1e-6 * post), axis=1, kind="stable")
-    best_value, best = np.full(d, -np.inf), np.zeros((d, k))
-    for n in range(1, min(MOST, k) + 1):
+    one = alone.argmax(axis=1)  # the single language is the likeliest one for the whole text
+    value, best = alone.max(axis=1) - prior[one], (np.arange(k) == one[:, None]).astype(float)
+    rising = np.ones(d, bool)
+    for n in range(2, k + 1):
+        if not rising.any():
+            break
         chosen = np.zeros((d, k), bool)
         np.put_along_axis(chosen, ranked[:, :n], True, axis=1)
-        if n == 1:  # the single language is the likeliest one for the whole text
-            share = (np.arange(k) == alone.argmax(axis=1)[:, None]).astype(float)
-            value = alone.max(axis=1) - prior[alone.argmax(axis=1)]
-        else:
-            share, value = em(chosen / n)
-            value = value - 0.5 * (n - 1) * np.log(units) - 3.0 * (n - 1)
-        better = value > best_value
-        best_value[better], best[better] = value[better], share[better]
+        share, more = em(chosen / n)
+        more = more - 0.5 * (n - 1) * np.log(units) - 3.0 * (n - 1)
+        rising &= more > value
+        value[rising], best[rising] = more[rising], share[rising]
     return best, post
 
 
@@ -126,8 +129,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], i
 
     lang_pred has the largest share; score is that share times the posterior of the language among the set's own. A text that
     is null or has no letter is `und` with score 0, as is every text if no language was learned. Whole texts, one narrow map,
-    the model is SLOTS numbers a language. keep: all columns of docs go along before these. Null ids and repeated rows pass
-    through; an empty table gives no rows.
+    the model is SLOTS numbers a language. keep: all columns of docs go along before these, but for those of the names added, which
+    are replaced. Null ids and repeated rows pass through; an empty table gives no rows.
     """
     langs, logp, prior = model
     shared = docs.sparkSession.sparkContext.broadcast((logp, prior))
@@ -136,7 +139,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], i
         logp, prior = shared.value
         for batch, texts in blocks(batches, "__text"):
             pred, score, sets, parts = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts], [[] for _ in texts]
-            at = [i for i, t in enumerate(texts) if t and _LETTER(t)] if langs else []
+            at = [i for i, t in enumerate(texts) if has_letter(t)] if langs else []
             if at:
                 share, post = mixtures([texts[i] for i in at], logp, prior)
                 order = np.argsort(-share, axis=1, kind="stable")
@@ -151,7 +154,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], i
             names = [n for n in batch.schema.names if n != "__text"]
             yield pa.RecordBatch.from_arrays([*cols, *extra], names=[*names, "lang_pred", "score", "languages", "shares"])
 
-    base = docs if keep else docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    base = docs.drop("lang_pred", "score", "languages", "shares") if keep else docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     rows = base.withColumn("__text", base[text_col if keep else "text"].cast("string"))
     rows = rows if keep else rows.drop("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")

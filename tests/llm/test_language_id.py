@@ -54,11 +54,37 @@ def test_odd_rows(spark):
     docs, _ = corpus(spark, 20)
     model, odd = train(docs, ~held_out()), brute.odd_rows(spark)
     for keep in (False, True):
-        frame = odd if not keep else odd.drop("lang_pred", "score")
-        rows = identify(frame, model, keep=keep).collect()
+        rows = identify(odd, model, keep=keep).collect()
         assert len(rows) == len(brute.ODD)
         assert all((r["lang_pred"] == "und") == (r["doc_id"] in (1, 2, 3, 7)) for r in rows if r["doc_id"] is not None)
         assert all(r["score"] == 0 for r in rows if r["lang_pred"] == "und")
     assert identify(brute.empty(odd), model).count() == 0
     none = train(brute.empty(odd), ~held_out())
     assert {r["lang_pred"] for r in identify(odd, none).collect()} == {"und"}
+
+
+def test_numbers_are_no_letters(spark):
+    docs, _ = corpus(spark, 20)
+    texts = {1: "½ ² ①", 2: "Ⅷ ½ the of", 3: "\U0001f600 \U00010107", 4: "\U00010400\U00010401", 5: "12 _ -"}
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), train(docs, ~held_out())).collect()}
+    assert {i for i, x in got.items() if x == "und"} == {i for i, t in texts.items() if not any(c.isalpha() for c in t)} == {1, 3, 5}
+
+
+def test_sets_grow_while_they_explain_more(spark):
+    docs, rng = corpus(spark)
+    more = {k: [f"{a}{k}{b}" for a in "bdfg" for b in ("ana", "olo", "umu", "eke")] for k in ("xx", "yy")}
+    rows = [(9000 + i * 2 + j, " ".join(rng.choice(w, 30)), k) for i in range(100) for j, (k, w) in enumerate(more.items())]
+    model = train(docs.unionByName(spark.createDataFrame(rows, docs.schema)), ~held_out())
+    text = " ".join(x for w in [*WORDS.values(), *more.values()] for x in rng.choice(w, 150))
+    (r,) = identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert sorted(r["languages"]) == ["de", "en", "fr", "xx", "yy"]
+
+
+def test_equal_languages_go_by_name(spark):
+    rows = [(i, "same words in both of them", "bb" if i % 2 else "aa") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~held_out())
+    n = docs.groupBy("lang").count().collect()
+    least = min(r["count"] for r in n)
+    same = [r for x in ("aa", "bb") for r in docs.where(f"lang = '{x}'").orderBy("doc_id").limit(least).collect()]
+    model = train(spark.createDataFrame(same, "doc_id long, text string, lang string"), ~held_out())
+    assert {r["lang_pred"] for r in identify(docs, model).collect()} == {"aa"}
