@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Virtual slots; fixed for a corpus, so that a record never changes its slot.
 SLOTS = 4096
+#: A group of equal texts is kept in one slot up to one part in so many of a shard's share.
+WHOLE = 4
 
 
 @dataclass(frozen=True)
@@ -74,7 +76,7 @@ class SlotMap:
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """The given or else the latest version."""
-        rows = [json.loads(r["value"]) for r in spark.read.text(path).select("value").collect()]  # one row a version
+        rows = [json.loads(r["value"]) for r in spark.read.text(path).select("value").collect() if r["value"]]  # one row a version
         row = max((r for r in rows if version in (None, r["version"])), key=lambda r: r["version"])
         return SlotMap(row["shards"], tuple(row["shard_of"]), row["version"])
 
@@ -83,11 +85,21 @@ class SlotMap:
         return F.get(F.split(F.lit(",".join(map(str, values or self.shard_of))), ",").cast("array<bigint>"), vslot)
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Per row: doc_id, size (UTF-8 bytes of the text plus 8), text_crc32 and vslot, the fixed virtual slot by a hash of id and text."""
+def measured(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+    """Per row: doc_id, size (UTF-8 bytes of the text plus 8), text_crc32 and vslot, its virtual slot.
+
+    The slot follows from the text alone, so equal texts lie together. Only a group of equal texts with more bytes than one part
+    in WHOLE of a shard's share is split, as no map could balance it: its rows are spread over all slots by their id. There are
+    fewer than WHOLE * shards such groups, so they may be named in the plan.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("th"))
+    groups = rows.groupBy("th").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    large = [r["th"] for r in groups.where((F.col("bytes") > total / (WHOLE * shards)) & (F.col("n") > 1)).select("th").collect()] if total else []
+    hashed = F.xxhash64("th")
+    spread = F.when(F.col("th").isin(large), F.xxhash64("th", "doc_id")).otherwise(hashed) if large else hashed
+    return rows.select("doc_id", "size", "text_crc32", F.pmod(spread, F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -117,7 +129,7 @@ def place(rows: DataFrame, slot_map: SlotMap, counts: list[int]) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null), vslot and map_version.
 
-    Records hash into fixed virtual slots; bytes per slot decide the map from slots to shards, so that shards hold nearly
+    Records hash into fixed virtual slots, equal texts into one (see measured() for groups that are too large for that); bytes per slot decide the map from slots to shards, so that shards hold nearly
     equal bytes (a single row is never split: one that is larger than a shard's share fills its shard alone). With map_path,
     an existing map is edited where slot sizes have changed, and the new version is stored beside the old ones.
 
@@ -125,7 +137,7 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str |
     gives no rows.
     """
     spark = docs.sparkSession
-    rows = measured(docs, slots=slots)
+    rows = measured(docs, shards, slots=slots)
     sizes, counts = slot_sizes(rows, slots)
     found = SlotMap.balanced(sizes, shards)
     if map_path:

@@ -20,6 +20,8 @@ from lorequarry.llm.common import materialize, skew_join
 
 #: Compressed bytes after which a task begins a new archive, and captures in an index block.
 ARCHIVE_BYTES, BLOCK_LINES = 64_000_000, 1000
+#: Bytes of neighbouring records read together.
+READ_BYTES = 8_000_000
 
 _CAPTURE = "url_key string, timestamp string, page_id long, archive string, offset long, length long, digest string, record_type string"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -146,11 +148,24 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     return materialize(wanted, "captures", f"{path}/captures")
 
 
+def _told(record: bytes, offset: int, length: int, name: str) -> tuple:
+    """What read_archives and read_indexed tell of a record; a response's payload must have the digest that its header names."""
+    warc, http, payload = parse(record)
+    digest, size = warc["WARC-Payload-Digest"].removeprefix("sha1:"), int(http["Content-Length"])
+    if warc["WARC-Type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+        raise ValueError(f"{name}: the record at {offset} does not match its digest")
+    page, first = warc["WARC-Page-ID"], warc.get("WARC-Refers-To-Page-ID")
+    return int(page) if page else None, size, digest, warc["WARC-Type"], int(first) if first else None, offset, length, name
+
+
+_READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, offset long, length long, archive string"
+
+
 def read_archives(captures: DataFrame, path: str) -> DataFrame:
     """Every record of the archives that captures name: page_id, payload_bytes, payload_digest, record_type, refers_to, offset, length, archive.
 
-    The digest of each response's payload is computed anew and held against its header. One archive (about ARCHIVE_BYTES)
-    is in a task's memory at a time.
+    A scan without the index. The digest of each response's payload is computed anew and held against its header. One archive
+    (about ARCHIVE_BYTES) is in a task's memory at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,13 +176,7 @@ def read_archives(captures: DataFrame, path: str) -> DataFrame:
                     data = f.read()
                 rows = []
                 for offset, length, record in members(data):
-                    warc, http, payload = parse(record)
-                    digest = warc["WARC-Payload-Digest"].removeprefix("sha1:")
-                    size = int(http["Content-Length"])
-                    if warc["WARC-Type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-                        raise ValueError(f"{name}: the record at {offset} does not match its digest")
-                    page, first = warc["WARC-Page-ID"], warc.get("WARC-Refers-To-Page-ID")
-                    rows.append((int(page) if page else None, size, digest, warc["WARC-Type"], int(first) if first else None, offset, length, name))
+                    rows.append(_told(record, offset, length, name))
                     if len(rows) == 4096:
                         yield _records(rows)
                         rows = []
@@ -176,8 +185,51 @@ def read_archives(captures: DataFrame, path: str) -> DataFrame:
 
     names = captures.select("archive").distinct()
     n = max(1, min(4096, names.count()))  # an archive is a task's worth of work
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, offset long, length long, archive string"
-    return names.repartition(n).mapInArrow(run, schema)
+    return names.repartition(n).mapInArrow(run, _READ)
+
+
+def read_indexed(spark: SparkSession, path: str) -> DataFrame:
+    """Every record that the index lists, with the columns of read_archives, by range reads.
+
+    Blocks give the captures; those of one archive meet in a task in the order of their offsets, and neighbours are read together,
+    READ_BYTES at a time. A record must be the page and of the kind that its index line names.
+    """
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                rows = [json.loads(x.partition(" ")[2]) for x in zlib.decompress(data).decode().split("\n")]
+                _, page, archive, offset, length, _, kind, _ = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(archive, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(page, pa.int64()), pa.array(kind, pa.string())], names=["archive", "offset", "length", "page_id", "record_type"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(path)
+        opened, f = None, None
+        for batch in batches:
+            rows, start = list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), 0
+            while start < len(rows):
+                name, at = rows[start][:2]
+                end = start
+                while end < len(rows) and rows[end][0] == name and rows[end][1] == at and (end == start or at + rows[end][2] - rows[start][1] <= READ_BYTES):
+                    at, end = at + rows[end][2], end + 1
+                if name != opened:
+                    if f:
+                        f.close()
+                    opened, f = name, fs.open_input_file(f"{base}/{name}")
+                f.seek(rows[start][1])
+                data, out = memoryview(f.read(at - rows[start][1])), []
+                for _, offset, length, page, kind in rows[start:end]:
+                    found = _told(zlib.decompress(data[offset - rows[start][1] :][:length], 31), offset, length, name)
+                    if (found[0], found[3]) != (page, kind):
+                        raise ValueError(f"{name}: the record at {offset} is not the one in the index")
+                    out.append(found)
+                yield _records(out)
+                start = end
+        if f:
+            f.close()
+
+    listed = spark.read.parquet(f"{path}/index").select("data").mapInArrow(lines, "archive string, offset long, length long, page_id long, record_type string")
+    return listed.repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(run, _READ)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
@@ -189,7 +241,8 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 def build_index(captures: DataFrame, path: str) -> None:
     """Write the two levels: index, compressed blocks of BLOCK_LINES sorted capture lines, and directory, each block's key range.
 
-    Captures are range-partitioned by (key, timestamp, page), so that a host or URL with very many captures is split too.
+    Captures are range-partitioned by (key, timestamp, page), so that a host or URL with very many captures is split too. The
+    line of a revisit also holds the place of the response with its payload.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +257,8 @@ def build_index(captures: DataFrame, path: str) -> None:
 
         for batch in batches:
             d = batch.to_pydict()
-            for key, *rest in zip(*(d[k] for k in ("url_key", "timestamp", "page_id", "archive", "offset", "length", "digest", "record_type")), strict=True):
+            for key, *rest in zip(*(d[k] for k in ("url_key", "timestamp", "page_id", "archive", "offset", "length", "digest", "record_type", "whole")), strict=True):
+                rest[-1] = rest[-1] and list(rest[-1].values())
                 lines.append((key.replace(" ", "%20"), rest))
                 if len(lines) == BLOCK_LINES:
                     yield block()
@@ -213,28 +267,34 @@ def build_index(captures: DataFrame, path: str) -> None:
             yield block()
 
     order = ["url_key", "timestamp", "page_id", "archive", "offset"]
-    blocks = captures.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "first_key string, last_key string, n long, part int, number int, data binary")
+    place = F.struct("page_id", "archive", "offset", "length")
+    responses = captures.where("record_type = 'response'").groupBy("digest").agg(F.min(place).alias("r"))
+    revisits = skew_join(captures.where("record_type = 'revisit'"), responses, "digest").select(*captures.columns, F.struct("r.archive", "r.offset", "r.length").alias("whole"))
+    responses = captures.where("record_type = 'response'").withColumn("whole", F.lit(None).cast("struct<archive:string,offset:bigint,length:bigint>"))
+    blocks = responses.unionByName(revisits).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "first_key string, last_key string, n long, part int, number int, data binary")
     stored = materialize(blocks, "index", f"{path}/index")
     stored.select("first_key", "last_key", "n", "part", "number").write.parquet(f"{path}/directory")
 
 
-def lookup(spark: SparkSession, path: str, url: str) -> list[tuple[dict, bytes]]:
+def lookup(spark: SparkSession, path: str, url: str) -> Iterator[tuple[dict, bytes]]:
     """The captures of a URL with their payloads: directory, blocks, binary search, then range reads of the archives.
 
-    Revisits come with the payload of the response they refer to where that is a capture of the same URL, else with none.
+    A revisit comes with the payload of the response it refers to, whatever URL that has. Captures come one after the other, so
+    a URL may have very many.
     """
     key = url_key(url).replace(" ", "%20")
-    sparse = spark.read.parquet(f"{path}/directory").where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("part", "number")
-    found = spark.read.parquet(f"{path}/index").where((F.col("first_key") <= key) & (F.col("last_key") >= key)).join(F.broadcast(sparse), ["part", "number"], "left_semi")
-    out, fs_base = [], filesystem(path)
-    for row in found.orderBy("part", "number").toLocalIterator():
+    within = (F.col("first_key") <= key) & (F.col("last_key") >= key)
+    fs, base = filesystem(path)
+
+    def record(archive: str, offset: int, length: int) -> bytes:
+        with fs.open_input_file(f"{base}/{archive}") as f:
+            f.seek(offset)
+            return parse(zlib.decompress(f.read(length), 31))[2]
+
+    for at in spark.read.parquet(f"{path}/directory").where(within).orderBy("part", "number").toLocalIterator():
+        (row,) = spark.read.parquet(f"{path}/index").where((F.col("part") == at["part"]) & (F.col("number") == at["number"])).select("data").collect()
         lines = zlib.decompress(row["data"]).decode().split("\n")
         keys = [line.partition(" ")[0] for line in lines]
         for line in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-            timestamp, page, archive, offset, length, digest, kind = json.loads(line.partition(" ")[2])
-            with fs_base[0].open_input_file(f"{fs_base[1]}/{archive}") as f:
-                f.seek(offset)
-                record = zlib.decompress(f.read(length), 31)
-            out.append(({"timestamp": timestamp, "page_id": page, "digest": digest, "record_type": kind}, parse(record)[2]))
-    whole = {m["digest"]: p for m, p in out if m["record_type"] == "response"}
-    return [(m, p if m["record_type"] == "response" else whole.get(m["digest"], b"")) for m, p in out]
+            timestamp, page, archive, offset, length, digest, kind, whole = json.loads(line.partition(" ")[2])
+            yield {"timestamp": timestamp, "page_id": page, "digest": digest, "record_type": kind}, record(*(whole or (archive, offset, length)))

@@ -39,6 +39,22 @@ def test_one_text_may_hold_a_third_of_all_rows(spark):
     assert max(sizes) - min(sizes) < 0.02 * np.mean(sizes)
 
 
+def test_equal_texts_lie_together_up_to_the_bound(spark):
+    # 24 shards of about 100,000 bytes; texts of 92 bytes and 8. A group of up to 25,000 bytes (250 rows) is kept whole.
+    docs = [(i, f"own text {i}".ljust(92)) for i in range(24_000 - 240 - 600)] + [(100_000 + i, "group of 240".ljust(92)) for i in range(240)] + [(200_000 + i, "group of 600".ljust(92)) for i in range(600)]
+    rows = shard(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    sizes = check(rows, 24, 10**9)
+    assert max(sizes) - min(sizes) < 0.02 * np.mean(sizes)
+    slots = lambda lo: {r["vslot"] for r in rows if lo <= r["doc_id"] < lo + 600}
+    assert len(slots(100_000)) == 1 and len(slots(200_000)) > 100
+
+
+def test_the_query_keeps_one_map(spark, sf_dir):
+    first, second = (queries.op7_sharding(spark, sf_dir).select("doc_id", "shard", "map_version").collect() for _ in range(2))
+    assert {r["doc_id"]: r["shard"] for r in first} == {r["doc_id"]: r["shard"] for r in second}
+    assert second[0]["map_version"] == first[0]["map_version"] + 1
+
+
 def test_maps_are_kept_and_edited(spark, tmp_path):
     path = f"file://{tmp_path}/map"
     docs = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', 50) as text")
@@ -57,7 +73,7 @@ def test_maps_are_kept_and_edited(spark, tmp_path):
 
 
 def test_growth_moves_rows_only_into_the_new_shard(spark):
-    sizes, _ = slot_sizes(measured(spark.range(20_000).selectExpr("id as doc_id", "repeat('x', 50) as text"), slots=512), 512)
+    sizes, _ = slot_sizes(measured(spark.range(20_000).selectExpr("id as doc_id", "repeat('x', 50) as text"), 8, slots=512), 512)
     a = SlotMap.balanced(sizes, 8)
     b = a.grown(sizes)
     assert b.shards == 9 and b.version == 2 and all(y in (x, 8) for x, y in zip(a.shard_of, b.shard_of, strict=True))

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 from lorequarry.llm import queries, warc
-from lorequarry.llm.warc import build_index, lookup, parse, read_archives, url_key, write_archives
+from lorequarry.llm.warc import build_index, lookup, parse, read_archives, read_indexed, url_key, write_archives
 
 
 def digest(html):
@@ -48,19 +48,30 @@ def test_odd_pages_and_small_payloads(spark, tmp_path):
     captures, path = made(spark, tmp_path / "b", ROWS, least_payload=100)
     assert {r["record_type"] for r in read_archives(captures, path).collect()} == {"response"}
     captures, path = made(spark, tmp_path / "c", [])
-    assert read_archives(captures, path).count() == 0 and lookup(spark, path, "http://a/") == []
+    assert read_archives(captures, path).count() == 0 and list(lookup(spark, path, "http://a/")) == [] and read_indexed(spark, path).count() == 0
 
 
 def test_lookups_read_ranges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
     _, path = made(spark, tmp_path, ROWS)
-    got = lookup(spark, path, "https://www.example.com/a?b=1")
+    got = list(lookup(spark, path, "https://www.example.com/a?b=1"))
     assert sorted((m["page_id"], p) for m, p in got) == [(1, "<p>é</p>".encode()), (6, b"new\r\n\r\nbody"), (7, "<p>é</p>".encode())]
-    assert [m["page_id"] for m, _ in lookup(spark, path, "http://example.com:8080")] == [2]
-    assert lookup(spark, path, "http://nowhere.org/") == []
+    ((m, p),) = lookup(spark, path, "http://example.com:8080")  # a revisit of a page with another URL
+    assert (m["page_id"], m["record_type"], p) == (2, "revisit", "<p>é</p>".encode())
+    assert list(lookup(spark, path, "http://nowhere.org/")) == []
     assert spark.read.parquet(f"{path}/directory").count() > 1
 
 
+def test_the_index_reads_what_a_scan_reads(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h{i % 5}.org/{i % 11}", f"text {i % 17} " * 90) for i in range(300)] + ROWS
+    for least, block in ((8_000_000, 1000), (700, 7)):
+        monkeypatch.setattr(warc, "READ_BYTES", least)
+        monkeypatch.setattr(warc, "BLOCK_LINES", block)
+        captures, path = made(spark, tmp_path / str(block), rows)
+        key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+        assert key(read_indexed(spark, path)) == key(read_archives(captures, path))
+
+
 def test_archives_are_plain_gzip_members(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 500)
     captures, path = made(spark, tmp_path, [(i, f"http://h{i}.org/", f"text {i} " * 40) for i in range(20)])
