@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import materialize, skew_join
+from lorequarry.llm.common import discard, groups, materialize, skew_join
 from lorequarry.llm.components import connected_components
 
 #: Projections whose collisions are counted, the step of their codes, the half-width of the query-centred window in steps.
@@ -51,14 +51,12 @@ def plan(n: int, cosine: float, recall: float) -> tuple[int, int, int]:
     return g, tables, count
 
 
-def _unit(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes | None]]:
-    """Rows that have a direction, and all rows' vectors as bytes of doubles (null where they have none)."""
-    raw: list[bytes | None] = []
-    for v in batch.column(1).to_pylist():
-        ok = v is not None and len(v) and None not in v
-        x = np.array(v, np.float64) if ok else np.zeros(0)
-        raw.append(x.tobytes() if ok and np.isfinite(x).all() and x.any() else None)
-    return np.array([i for i, x in enumerate(raw) if x is not None], np.int64), raw
+def _doubles(vectors: pa.ListArray) -> list[bytes | None]:
+    """Each vector as bytes of doubles; null where it has no direction."""
+    offsets, known = vectors.offsets.to_numpy(), vectors.is_valid().to_pylist()
+    values = vectors.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # null components are not finite then
+    rows = (values[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+    return [x.tobytes() if ok and x.size and np.isfinite(x).all() and x.any() else None for ok, x in zip(known, rows, strict=True)]
 
 
 def _normal(rows: list[bytes]) -> np.ndarray:
@@ -67,18 +65,28 @@ def _normal(rows: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def stored(vectors: DataFrame) -> DataFrame:
+    """id, vector (bytes of doubles, null without a direction) and vh (its hash) of every row (id, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_doubles(part.column(1)), pa.binary())], names=["id", "vector"])
+
+    return vectors.select("id", "v").mapInArrow(run, "id long, vector binary").withColumn("vh", F.xxhash64("vector"))
+
+
 def hashed(vectors: DataFrame, g: int, tables: int, seed: int = 7) -> DataFrame:
-    """Per row with a direction: id, vector (bytes of doubles), code (a byte for each counted projection) and keys (one a table)."""
+    """The rows id, vh, vector with code (a byte for each counted projection) and keys (one a table)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[int, tuple] = {}
         for batch in batches:
             for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                some, raw = _unit(part)
-                ids = part.column(0).to_pylist()
+                raw = part.column(2).to_pylist()
                 by_size: dict[int, list[int]] = {}
-                for i in some.tolist():
-                    by_size.setdefault(len(raw[i]) // 8, []).append(i)
+                for i, x in enumerate(raw):
+                    by_size.setdefault(len(x) // 8, []).append(i)
                 for size, at in by_size.items():  # vectors of another length are never linked, and have keys of their own
                     if size not in drawn:
                         rng = np.random.default_rng([seed, size])
@@ -90,9 +98,10 @@ def hashed(vectors: DataFrame, g: int, tables: int, seed: int = 7) -> DataFrame:
                     mixed = (slab * odd).reshape(len(at), tables, g).sum(axis=2, dtype=np.uint64)
                     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size)
                     keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * tables + 1, tables), pa.int32()), pa.array(mixed.view(np.int64).ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([raw[i] for i in at], pa.binary()), pa.array([c.tobytes() for c in code], pa.binary()), keys], names=["id", "vector", "code", "keys"])
+                    own = part.take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array([c.tobytes() for c in code], pa.binary()), keys], names=["id", "vh", "vector", "code", "keys"])
 
-    return vectors.mapInArrow(run, "id long, vector binary, code binary, keys array<long>")
+    return vectors.select("id", "vh", "vector").mapInArrow(run, "id long, vh long, vector binary, code binary, keys array<long>")
 
 
 def _codes(rows: list[bytes]) -> np.ndarray:
@@ -113,13 +122,13 @@ def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
                     cos[at] = np.einsum("ij,ij->i", _normal([va[i] for i in at]), _normal([vb[i] for i in at]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cos)], names=["a", "b", "cosine"])
 
-    left = skew_join(pairs, vectors.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a")
-    both = skew_join(left, vectors.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
+    left = skew_join(pairs, vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a")
+    both = skew_join(left, vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
     return both.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long, cosine double")
 
 
 def _to_leader(count: int):
-    """Pairs (id, leader) of a bucket whose projections collide often enough."""
+    """Pairs (node, leader) of a bucket whose projections collide often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,45 +139,45 @@ def _to_leader(count: int):
 
 
 def _in_blocks(count: int):
-    """Rows sorted by (key, i, j): within each group, pairs of different balls whose projections collide often enough."""
-
-    def group(rows: list[tuple]) -> list[tuple[int, int]]:
-        _, i, j = rows[0][:3]
-        ids, ball, blk = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5))
-        code = _codes([r[6] for r in rows])
-        names, sizes = np.unique(ball, return_counts=True)
-        main = names[sizes.argmax()]
-        minor = np.flatnonzero(ball != main)
-        out = []
-        for k in range(0, minor.size, 64):  # 64 queries against the group at a time
-            m = minor[k : k + 64]
-            hits = np.zeros((m.size, len(rows)), np.int16)
-            for p in range(COUNTED):
-                hits += np.abs(code[m, p][:, None] - code[:, p][None, :]) <= WINDOW
-            ok = (hits >= count) & (ball[m][:, None] != ball[None, :]) & ((ball[None, :] == main) | (ids[None, :] > ids[m][:, None]))
-            if i != j:
-                ok &= blk[m][:, None] != blk[None, :]
-            x, y = np.nonzero(ok)
-            out += [(min(a, b), max(a, b)) for a, b in zip(ids[m][x].tolist(), ids[y].tolist(), strict=True) if a != b]
-        return out
+    """Within a group (key, i, j) of a bucket's rows: pairs of an asking row (of block j) and a row there (of block i), of
+    different balls, whose projections collide often enough. A pair of two asked rows is told where the lesser asks."""
+
+    def search(rows: pa.Table) -> pa.RecordBatch:
+        ids, ball, asks, asked, there = (rows[c].to_numpy() for c in ("node", "ball", "asks", "asked", "there"))
+        code = np.ascontiguousarray(_codes(rows["code"].to_pylist()).T)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m in (q[k : k + 64] for q in [np.flatnonzero(asks)] for k in range(0, q.size, 64)):
+            ok = there[None, :] & (ball[m][:, None] != ball[None, :]) & (~asked[None, :] | (ids[None, :] > ids[m][:, None]))
+            hits = np.zeros(ok.shape, np.int16)
+            for c in code:
+                hits += np.abs(c[m][:, None] - c[None, :]) <= WINDOW
+            x, y = np.nonzero(ok & (hits >= count))
+            out_a.append(np.minimum(ids[m][x], ids[y]))
+            out_b.append(np.maximum(ids[m][x], ids[y]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and rows[-1][:3] != row[:3]:
-                    out += group(rows)
-                    rows = []
-                rows.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
-        if rows and (out := group(rows)):
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+        for rows in groups(batches, 3):
+            if rows["asks"].to_numpy().any():
+                yield search(rows)
 
     return run
 
 
+def _dealt(active: DataFrame, codes: DataFrame) -> DataFrame:
+    """active (key, node, ball) as groups (key, i, j): block i of a bucket's rows with block j of its rows outside the main ball."""
+    each = active.groupBy("key", "ball").agg(F.count("*").alias("m"))
+    main = each.groupBy("key").agg(F.max(F.struct("m", (-F.col("ball")).alias("c"))).alias("x"), F.sum("m").alias("n"))
+    main = main.select("key", (-F.col("x.c")).alias("main"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("ni"), F.ceil((F.col("n") - F.col("x.m")) / BLOCK_ROWS).cast("int").alias("nj"))
+    known = skew_join(skew_join(active, main.where("nj > 0"), "key"), codes, "node").withColumn("asked", F.col("ball") != F.col("main"))
+    known = known.withColumn("bi", F.pmod(F.xxhash64("node"), "ni").cast("int")).withColumn("bj", F.pmod(F.xxhash64("node", F.lit(1)), "nj").cast("int"))
+    own = F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: F.struct(F.col("bi").alias("i"), j.alias("j")))
+    other = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: F.struct(i.alias("i"), F.col("bj").alias("j")))
+    out = known.withColumn("g", F.explode(F.when(F.col("asked"), F.array_union(own, other)).otherwise(own)))
+    out = out.select("key", "g.i", "g.j", "node", "ball", "code", "asked", (F.col("asked") & (F.col("g.j") == F.col("bj"))).alias("asks"), (F.col("g.i") == F.col("bi")).alias("there"))
+    return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per row: vec_id, n_links, component_id and kept.
 
@@ -177,49 +186,45 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     1. Every vector is projected on many random lines. A table cuts some of the sorted projections into slabs; rows that share
        all slabs of a table meet in a bucket. COUNTED further projections are kept as a byte each: a pair is looked at only if
        enough of them collide within the query-centred window (plan() calibrates tables and count for the recall).
-    2. Each row is held against the least id of its buckets, and joins the ball of the least one within half the threshold's
+    2. Each row is held against the least node of its buckets, and joins the ball of the least one within half the threshold's
        angle. All pairs inside a ball are links by the triangle inequality, so a group of copies is counted, not expanded.
-    3. Pairs of different balls in a bucket that collide often enough are verified by their cosines. Large buckets are dealt
-       out as pairs of blocks.
+    3. Pairs of different balls in a bucket that collide often enough are verified by their cosines. Rows outside a bucket's
+       main ball are held against all its rows, in blocks.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do those of other lengths
-    and rows with a null id; rows of one id and one vector are one vector, repeated in the result. Other columns are ignored;
-    an empty table gives no rows. Cost: step 3 emits the links between balls, which for a group that is not much wider than a
-    ball are few.
+    and rows with a null id. Each distinct (id, vector) is a vector of its own, also where an id has several: links are counted
+    and followed for each. Repeated rows are one vector, repeated in the result. Other columns are ignored; an empty table gives
+    no rows. Cost: step 3 emits the links between balls, which for a group that is not much wider than a ball are few.
     """
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
-    n = rows.count()
-    g, tables, count = plan(n, cosine, recall)
-    known = materialize(hashed(rows.where("id is not null"), g, tables).dropDuplicates(["id"]), "vectors")
-    keyed = known.select("id", "code", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-    members = materialize(skew_join(keyed, sizes, "key"), "members")  # key, id, code, n, leader
-    led = skew_join(members.where("id <> leader").select("id", "code", "leader").distinct(), known.select(F.col("id").alias("leader"), F.col("code").alias("leader_code")), "leader")
-    stars = led.select("id", "code", "leader", "leader_code").mapInArrow(_to_leader(count), "a long, b long").distinct()
-    star_cos = materialize(_verified(stars, known), "stars")  # a: leader, b: row
+    base = materialize(stored(rows), "vectors")
+    distinct = base.where("vector is not null and id is not null").groupBy("id", "vh").agg(F.first("vector").alias("vector"))
+    g, tables, count = plan(base.count(), cosine, recall)
+    # the numbers are fixed by being written
+    known = materialize(hashed(distinct, g, tables).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    codes = known.select("node", "code")
+    keyed = known.select("node", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").drop("n")
+    members = materialize(skew_join(keyed, sizes, "key"), "members")  # key, node, leader
+    pairs = members.where("node <> leader").select("node", "leader").distinct()
+    led = skew_join(skew_join(pairs, codes, "node"), codes.select(F.col("node").alias("leader"), F.col("code").alias("leader_code")), "leader")
+    stars = led.select("node", "code", "leader", "leader_code").mapInArrow(_to_leader(count), "a long, b long")
     half = math.cos(math.acos(cosine) / 2) + 1e-9
-    own = star_cos.where(F.col("cosine") >= half).groupBy("b").agg(F.min("a").alias("ball")).withColumnRenamed("b", "id")
-    balls = materialize(known.select("id").join(own, "id", "left").withColumn("ball", F.coalesce("ball", "id")), "balls")
-    marked = skew_join(members, balls, "id")
+    own = _verified(stars, known).where(F.col("cosine") >= half).groupBy("b").agg(F.min("a").alias("ball")).withColumnRenamed("b", "node")
+    balls = materialize(known.select("node").join(own, "node", "left").withColumn("ball", F.coalesce("ball", "node")), "balls")
+    marked = materialize(skew_join(members.select("key", "node"), balls, "node"), "marked")
     mixed = marked.groupBy("key").agg(F.min("ball").alias("b0"), F.max("ball").alias("b1")).where("b0 < b1").select("key")
-    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    dealt = (
-        skew_join(marked, mixed, "key")
-        .withColumn("parts", parts)
-        .withColumn("blk", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "id", "ball", "blk", "code")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-    )
-    pairs = dealt.mapInArrow(_in_blocks(count), "a long, b long").distinct()
-    across = materialize(_verified(pairs, known).where(F.col("cosine") >= cosine).select("a", "b"), "links")
-    ends = across.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("across"))
+    found = _dealt(skew_join(marked, mixed, "key"), codes).mapInArrow(_in_blocks(count), "a long, b long").distinct()
+    across = materialize(_verified(found, known).where(F.col("cosine") >= cosine).select("a", "b"), "links")
+    discard(members, marked)
+    ends = across.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("across"))
     held = balls.groupBy("ball").agg((F.count("*") - 1).alias("inside"))
-    counted = skew_join(balls, held, "ball").join(ends, "id", "left").select("id", (F.col("inside") + F.coalesce("across", F.lit(0))).alias("n_links"))
-    inner = balls.where("id <> ball").select(F.col("ball").alias("a"), F.col("id").alias("b"))
+    counted = skew_join(balls, held, "ball").join(ends, "node", "left").select("node", (F.col("inside") + F.coalesce("across", F.lit(0))).alias("n_links"))
+    inner = balls.where("node <> ball").select(F.col("ball").alias("a"), F.col("node").alias("b"))
     labels = connected_components(inner.unionByName(across))
-    got = counted.join(labels.withColumnRenamed("node", "id"), "id", "left")
-    out = rows.select("id").join(got, "id", "left")
-    component = F.coalesce("component", "id")
+    ids = known.select("node", "id", "vh")
+    least = skew_join(labels, skew_join(labels, ids, "node").groupBy("component").agg(F.min("id").alias("component_id")), "component").select("node", "component_id")
+    got = ids.join(counted, "node").join(least, "node", "left").select("id", "vh", "n_links", "component_id")
+    out = base.select("id", F.when(F.col("vector").isNotNull(), F.col("vh")).alias("vh")).join(got, ["id", "vh"], "left")
+    component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -74,6 +74,12 @@ def test_repeated_rows_are_one_vector(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in rows) == [(1, 1, 1), (1, 1, 1), (2, 1, 1)]
 
 
+def test_an_id_may_have_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (7, [1.0, 0.03]), (7, None), (8, [0.0, 1.0]), (8, [1.0, 0.02]), (8, [1.0, 0.02])]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 3, 1), (2, 3, 1), (7, 0, 7), (7, 3, 1), (8, 0, 8), (8, 3, 1), (8, 3, 1)]
+
+
 def test_tables_grow_as_a_small_power_of_the_rows():
     small, large = plan(10**4, 0.9, 0.99), plan(10**8, 0.9, 0.99)
     assert large[1] / small[1] < (10**8 / 10**4) ** 0.3 and small[2] == large[2] > 16
