@@ -70,28 +70,47 @@ def near_components(rows, num, den, n):
 def line_chunks(text, passage=250):
     lines = (text or "").split("\n")
     hashes = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+    roll = [h + 31 * (hashes[i - 1] if i else 0) for i, h in enumerate(hashes)]
     long = [len(x.encode()) >= passage for x in lines]
-    out, start = [], 0
+    out, start, last = [], 0, len(lines) - 1
     for i in range(len(lines)):
-        before = hashes[i - 1] * 31 if i else 0
-        if (hashes[i] + before) % 2 == 0 or i == len(lines) - 1 or long[i] or long[i + 1]:
+        if i == last or long[i] or long[i + 1] or (1 <= i <= last - 2 and roll[i - 1] > roll[i] <= roll[i + 1]):
             out.append((lines[start : i + 1], i > start or long[i]))
             start = i + 1
     return out
 
 
+def common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
 def dedup_lines(rows):
     """From (id, text) in order of id: id -> cleaned text."""
-    seen, out = set(), {}
-    for i, t in rows:
+    chunks = {i: line_chunks(t) for i, t in rows}
+    first, gone = {}, {}
+    for i, own in chunks.items():
+        for k, (lines, may_go) in enumerate(own):
+            if may_go and (to := first.setdefault("\n".join(lines), (i, k))) != (i, k):
+                gone[i, k] = to
+    lines_of = lambda i, k: chunks[i][k][0] if 0 <= k < len(chunks[i]) else []
+    out = {}
+    for i, own in chunks.items():
         kept = []
-        for lines, may_go in line_chunks(t):
-            chunk = "\n".join(lines)
-            if may_go and chunk in seen:
+        for k, (lines, _) in enumerate(own):
+            if (i, k) in gone:
                 continue
-            if may_go:
-                seen.add(chunk)
-            kept += lines
+            head = tail = 0
+            if (i, k - 1) in gone:
+                f, g = gone[i, k - 1]
+                head = common(lines, lines_of(f, g + 1))
+            if (i, k + 1) in gone:
+                f, g = gone[i, k + 1]
+                tail = common(lines[::-1], lines_of(f, g - 1)[::-1])
+            if head + tail < len(lines):
+                kept += lines[head : len(lines) - tail]
         out[i] = "\n".join(kept)
     return out
 

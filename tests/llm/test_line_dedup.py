@@ -33,6 +33,32 @@ def test_a_shifted_passage_is_found(spark):
     assert "inserted" in got[3]["text"] and got[2]["text"].startswith("other\nstart")
 
 
+def test_passages_of_few_lines_go_whole(spark):
+    rng = __import__("random").Random(4)
+    say = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(13))
+    for n, most in ((8, 0.2), (12, 0.1), (20, 0.02)):  # of fewer lines, more often no chunk lies inside
+        passages = [[say() for _ in range(n)] for _ in range(30)]
+        rows = [(k * 30 + j, "\n".join([*(say() for _ in range(3 + j)), *p, *(say() for _ in range(4))])) for j, p in enumerate(passages) for k in range(4)]
+        rows = sorted((d % 30 + d // 30 * 100, t) for d, t in rows)
+        got = cleaned(spark.createDataFrame(rows, "doc_id long, text string"))
+        left = [sum(line in got[d]["text"].split("\n") for line in passages[d % 100]) for d, _ in rows if d >= 100]
+        # of the copies after the first: few lines stay, and no line of the documents' own goes
+        assert sum(left) <= most * n * len(left)
+        assert all(r["removed_lines"] <= n for r in got.values()) and all(got[d]["removed_lines"] == 0 for d, _ in rows if d < 100)
+
+
+def test_lines_beside_a_removed_chunk(spark):
+    """Whatever is removed stands in an earlier place."""
+    rng = __import__("random").Random(5)
+    rows = [(d, "\n".join(rng.choice(["a", "b", "c", "d", "e", "long " * 60]) for _ in range(rng.randrange(1, 25)))) for d in range(200)]
+    got = {i: r["text"] for i, r in cleaned(spark.createDataFrame(rows, "doc_id long, text string")).items()}
+    assert got == brute.dedup_lines(rows)
+    for passage_bytes in (None, 10**6):
+        kept = {r["doc_id"]: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), passage_bytes=passage_bytes).collect()}
+        assert all("long" in kept[i]["text"] for i, t in rows if t.split("\n").count("long " * 60) and kept[i]["removed_lines"] == 0)
+        assert sum(r["removed_lines"] for r in kept.values()) > 0
+
+
 def test_a_long_line_is_a_passage_anywhere(spark):
     line = " ".join(f"word{i}" for i in range(60))
     short = " ".join(f"word{i}" for i in range(30))
