@@ -14,7 +14,8 @@ from lorequarry.llm.common import blocks
 from lorequarry.llm.ragged_bpe import RaggedBpe, loaded
 
 WINDOW = 4096
-#: What a cut costs, in padding tokens: after a sentence, after a clause, and inside a clause that is longer than HARD_STEP.
+#: What a cut costs, in padding tokens: after a sentence; in documents with a sentence longer than HARD_STEP, after a clause; and inside a clause
+#: that is longer than HARD_STEP.
 SENTENCE_CUT, CLAUSE_CUT, HARD_CUT, HARD_STEP = 4.0, 8.0, 64.0, 256
 #: Tokens planned together; a plan's unfinished end goes on into the next.
 PLAN_TOKENS = 64 * WINDOW
@@ -86,9 +87,10 @@ class Packer:
             n = len(ids) - done
             own = self.cost_of[ids[done:]]
             own[-1] = 0.0
-            at = np.flatnonzero(own < np.inf)
-            gaps = np.diff(at, prepend=-1)
-            if gaps.max() > HARD_STEP:
+            at = np.flatnonzero(own <= SENTENCE_CUT)
+            if np.diff(at, prepend=-1).max() > HARD_STEP:  # a sentence so long may be cut at its clauses too
+                at = np.flatnonzero(own < np.inf)
+                gaps = np.diff(at, prepend=-1)
                 for k in np.flatnonzero(gaps > HARD_STEP):
                     own[at[k] - gaps[k] + HARD_STEP : at[k] : HARD_STEP] = HARD_CUT
                 at = np.flatnonzero(own < np.inf)
