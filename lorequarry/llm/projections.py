@@ -144,13 +144,12 @@ def _in_blocks(count: int):
 
     def search(rows: pa.Table) -> pa.RecordBatch:
         ids, ball, asks, asked, there = (rows[c].to_numpy() for c in ("node", "ball", "asks", "asked", "there"))
-        code = np.ascontiguousarray(_codes(rows["code"].to_pylist()).T)
+        code = _codes(rows["code"].to_pylist())
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for m in (q[k : k + 64] for q in [np.flatnonzero(asks)] for k in range(0, q.size, 64)):
+        step = max(1, 65_536 // rows.num_rows)
+        for m in (q[k : k + step] for q in [np.flatnonzero(asks)] for k in range(0, q.size, step)):
             ok = there[None, :] & (ball[m][:, None] != ball[None, :]) & (~asked[None, :] | (ids[None, :] > ids[m][:, None]))
-            hits = np.zeros(ok.shape, np.int16)
-            for c in code:
-                hits += np.abs(c[m][:, None] - c[None, :]) <= WINDOW
+            hits = (np.abs(code[m][:, None, :] - code[None, :, :]) <= WINDOW).sum(axis=2, dtype=np.int16)
             x, y = np.nonzero(ok & (hits >= count))
             out_a.append(np.minimum(ids[m][x], ids[y]))
             out_b.append(np.maximum(ids[m][x], ids[y]))
