@@ -10,9 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorequarry.functions.text import SAFE_SCHEMES
 from lorequarry.operators import bundle, evals, health, index, pack, publish, retrieve
 from lorequarry.operators.common import cut
 from lorequarry.sources import sinks, wiki
+from lorequarry.sources.files import confined, exists
 
 
 def session(name: str = "lorequarry") -> SparkSession:
@@ -20,13 +22,13 @@ def session(name: str = "lorequarry") -> SparkSession:
     return SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").getOrCreate()
 
 
-def graph(pages: DataFrame) -> DataFrame:
+def graph(pages: DataFrame, schemes: Sequence[str] = SAFE_SCHEMES) -> DataFrame:
     """src, href, dst, resolved, safe of every link; dst is null where no page answers."""
     found = index.edges(pages)
     key = F.regexp_replace(F.regexp_replace(F.regexp_replace("href", "#.*$", ""), r"^(\./|/)+", ""), r"\.md$", "")
     targets = pages.select(F.col("page_id").alias("key"), F.col("page_id").alias("dst"))
     met = found.withColumn("key", key).join(targets, "key", "left").withColumn("resolved", F.col("dst").isNotNull())
-    return index.safe_edges(met).select(F.col("page_id").alias("src"), "href", "dst", "resolved", "safe")
+    return index.safe_edges(met, schemes).select(F.col("page_id").alias("src"), "href", "dst", "resolved", "safe")
 
 
 def findings(pages: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,30 +39,65 @@ def findings(pages: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(links).unionByName(health.orphans(pages, edges))
 
 
+def validation(spark: SparkSession, root: str, pages: DataFrame) -> DataFrame:
+    """What is wrong with the layers as files: contract, front matter, profiles, ids, sources, lines, and what changed since the index was built."""
+    try:
+        own = json.loads(confined(root, "delivery-contract.json").read_text("utf-8")) if confined(root, "delivery-contract.json").exists() else {}
+        bad = wiki.contract_findings(own) if isinstance(own, dict) else ["the contract must be an object"]
+    except json.JSONDecodeError as e:
+        bad = [f"cannot read: {e}"]
+    rows = [("bad_contract", "delivery-contract.json", "error", m) for m in bad]
+    out = spark.createDataFrame(rows, "rule string, page_id string, severity string, message string")
+    notes = wiki.raw_notes(spark, root)
+    out = out.unionByName(health.front_findings(pages, {name: list(p.get("fields") or []) for name, p in wiki.profiles(root).items()}))
+    out = out.unionByName(health.same_ids(pages)).unionByName(health.source_findings(pages, notes))
+    for name, lines in (("glossary.jsonl", wiki.glossary_lines(spark, root)), ("query-log.jsonl", wiki.query_log(spark, root)), ("retrieval-evals.jsonl", wiki.retrieval_evals(spark, root))):
+        out = out.unionByName(health.corrupt_lines(lines, name))
+    return out.unionByName(changed(spark, root))
+
+
+def changed(spark: SparkSession, root: str) -> DataFrame:
+    """Stale artifacts and drifted raw notes; nothing where no index was built."""
+    recorded = wiki.recorded_hashes(spark, root)
+    found = health.recorded_findings(recorded, *wiki.current_hashes(spark, root))
+    return found.limit(0) if not exists(spark, f"{root}/{wiki.HASHES}") else found
+
+
+def glossary(spark: SparkSession, root: str) -> DataFrame | None:
+    """The glossary, unless the contract turns it off."""
+    return wiki.glossary(spark, root) if wiki.contract(root)["retrieval"]["glossary"] else None
+
+
 def retrieved(spark: SparkSession, root: str, query: str, k: int, profile: str | None, stored: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages, the query as a table, and its ranking. stored: the ranking reads the stored index where no profile is asked for."""
     pages = retrieve.profiled(wiki.pages(spark, root), profile)
-    posts = wiki.memory_index(spark, root) if stored and profile is None else index.postings(pages)
     asked = spark.createDataFrame([("q", query)], "query_id string, text string")
-    return pages, asked, retrieve.retrieve(posts, asked, k, wiki.glossary(spark, root))
+    if stored and profile is None:
+        return pages, asked, retrieve.retrieve(wiki.memory_index(spark, root), asked, k, glossary(spark, root))
+    return pages, asked, retrieve.retrieve_pages(pages, asked, k, glossary(spark, root))
 
 
 def context_pack(spark: SparkSession, root: str, task: str, max_chars: int, max_chunks: int, k: int = 10, profile: str | None = None) -> DataFrame:
     """The chunks of a pack, with sources, confidence, contested status and reasons."""
     pages, asked, ranked = retrieved(spark, root, task, k, profile)
     ranked = cut(ranked, "ranked")
-    terms = retrieve.expand(retrieve.query_terms(asked), wiki.glossary(spark, root))
+    terms, known = retrieve.query_terms(asked), glossary(spark, root)
+    terms = retrieve.expand(terms, known) if known is not None else terms
     wanted = pages.join(ranked.select("page_id"), "page_id", "left_semi")
     chunks = pack.ranked_chunks(pack.chunks(wanted, wiki.contract(root)["context_pack"]["chunk_chars"]), ranked, terms)
     kept = pack.within_budget(chunks, max_chars, max_chunks).join(ranked.select("query_id", "page_id", F.col("rank").alias("page_rank")), ["query_id", "page_id"])
-    why = retrieve.reasons(retrieve.matches(index.postings(wanted), terms))
+    why = retrieve.reasons(retrieve.matches(index.postings(wanted, terms), terms))
     return kept.join(pages.select("page_id", "sources", "confidence", "contested"), "page_id").join(why, ["query_id", "page_id"])
 
 
-def _tell(rows: DataFrame, as_json: bool, limit: int = 1000) -> None:
-    """Print rows; a report is at most limit of them."""
-    for line in rows.limit(limit).toJSON().collect() if not as_json else [json.dumps([json.loads(x) for x in rows.limit(limit).toJSON().collect()])]:
-        print(line)
+def _tell(rows: DataFrame, as_json: bool) -> None:
+    """Print every row, one JSON object a line or one JSON array; a partition of them is held at a time."""
+    first = True
+    for r in rows.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+        print(r["j"] if not as_json else ("[" if first else ",") + r["j"])
+        first = False
+    if as_json:
+        print("[]" if first else "]")
 
 
 def main(argv: Sequence[str] | None = None) -> int:
@@ -97,17 +134,29 @@ def main(argv: Sequence[str] | None = None) -> int:
     if a.command == "init":
         print("\n".join(sinks.init_wiki(a.root, draft=a.draft)))
         return 0
-    spark, rules = session(), wiki.contract(a.root)
-    if a.command in ("validate", "health"):
+    spark = session()
+    try:
+        rules = wiki.contract(a.root)
+    except json.JSONDecodeError:
+        if a.command != "validate":
+            raise
+        rules = wiki.CONTRACT
+    schemes = rules["publish"]["safe_schemes"]
+    if a.command == "validate":
         pages = wiki.pages(spark, a.root)
-        found = cut(findings(pages, graph(pages)), "findings")
-        _tell(health.summary(found).orderBy("rule") if a.command == "health" else found.orderBy("severity", "rule", "page_id", "message"), a.json)
-        return int(a.command == "validate" and not found.where("severity = 'error'").isEmpty())
+        found = cut(findings(pages, graph(pages, schemes)).unionByName(validation(spark, a.root, pages)), "findings")
+        _tell(found.orderBy("severity", "rule", "page_id", "message"), a.json)
+        return int(not found.where("severity = 'error'").isEmpty())
+    if a.command == "health":
+        pages = wiki.pages(spark, a.root)
+        _tell(health.summary(findings(pages, graph(pages, schemes)).unionByName(changed(spark, a.root))).orderBy("rule"), a.json)
+        return 0
     if a.command == "build-index":
         pages = wiki.pages(spark, a.root)
-        posts, edges = index.postings(pages), graph(pages)
+        posts, edges = index.postings(pages), graph(pages, schemes)
         if a.write:
             sinks.write_index(posts, edges, a.root)
+            sinks.write_hashes(*wiki.current_hashes(spark, a.root), a.root)
             posts, edges = wiki.memory_index(spark, a.root), wiki.link_graph(spark, a.root)
         _tell(posts.agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms")), a.json)
         _tell(edges.agg(F.count("*").alias("links"), F.count("dst").alias("resolved")), a.json)
@@ -118,7 +167,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         ranked = cut(ranked, "ranked")
         if not a.no_log:
             sinks.append_log(ranked, asked, a.root, a.profile)
-        edges = graph(wiki.pages(spark, a.root)).where("resolved").select("src", "dst")
+        edges = graph(wiki.pages(spark, a.root), schemes).where("resolved").select("src", "dst")
         roles = retrieve.with_context(ranked, edges).join(ranked.select("page_id", "matched", "tf", "rank"), "page_id", "left")
         _tell(roles.orderBy(F.col("rank").asc_nulls_last(), "page_id"), a.json)
         return 0
@@ -132,20 +181,22 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 0
     if a.command == "publish-html":
         pages = wiki.pages(spark, a.root).withColumn("source", F.array_join("sources", ","))
-        _tell(sinks.write_html(publish.rendered(pages), a.root, a.clean).orderBy("rel_path"), False)
+        _tell(sinks.write_html(publish.rendered(pages, schemes=schemes), a.root, a.clean).orderBy("rel_path"), False)
         return 0
     if a.command == "publish-mcp":
         pages = wiki.pages(spark, a.root)
-        edges = graph(pages)
+        edges = graph(pages, schemes)
         mode = a.mode or rules["publish"]["mode"]
-        kept = bundle.published(pages)
+        named = spark.createDataFrame([(x,) for x in rules["publish"]["private"]], "page_id string")
+        private = pages.where("private").select("page_id").unionByName(named)
+        kept = bundle.published(pages, private, edges.where("resolved").select("src", "dst"), rules["publish"]["allow"])
         files = bundle.bundle(kept, a.name, findings(pages, edges), mode, str(a.root), a.strict)
         _tell(sinks.write_bundle(files, a.root, a.clean).orderBy("rel_path"), False)
         return 0
     # evaluate
     gold = wiki.retrieval_evals(spark, a.root).where("eval_id is not null").select(F.col("eval_id").alias("query_id"), F.col("query").alias("text"), "expected_page_ids")
     k = rules["retrieval"]["top_k"]
-    ranked = retrieve.retrieve(index.postings(wiki.pages(spark, a.root)), gold.select("query_id", "text"), k, wiki.glossary(spark, a.root))
+    ranked = retrieve.retrieve_pages(wiki.pages(spark, a.root), gold.select("query_id", "text"), k, glossary(spark, a.root))
     _tell(evals.metrics(gold.select("query_id", F.explode("expected_page_ids").alias("page_id")), ranked, k).orderBy("query_id"), a.json)
     return 0
 

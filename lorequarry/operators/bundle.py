@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lorequarry import schemas
 from lorequarry.functions.markdown import slug
 from lorequarry.functions.text import content_hash, sanitized
-from lorequarry.operators.snapshot import allowlisted, reached
+from lorequarry.operators.snapshot import reached
 from lorequarry.sources.files import inside
 
 MODES = ("snapshot", "linked")
@@ -70,14 +71,24 @@ if __name__ == "__main__":
 '''
 
 
-def published(pages: DataFrame, private: DataFrame | None = None, graph: DataFrame | None = None) -> DataFrame:
-    """Pages that a snapshot may carry: inside the root, of no excluded name, and not private (page_id), nor leading to a private page."""
-    path = F.concat(F.col("page_id").cast("string"), F.lit(".md"))
+def published(pages: DataFrame, private: DataFrame | None = None, graph: DataFrame | None = None, allow: Sequence[str] | None = None) -> DataFrame:
+    """Pages that a snapshot may carry: inside the root, of no excluded name, and not private (page_id), nor leading to a private page.
+
+    allow: page ids, or beginnings of page ids that end in *; null admits all.
+    """
+    page = F.col("page_id").cast("string")
+    path = F.concat(page, F.lit(".md"))
     kept = pages.where(F.col("page_id").isNotNull() & inside(path) & ~path.rlike(EXCLUDED))
+    if allow is not None:
+        whole, begun = [x for x in allow if not x.endswith("*")], [x[:-1] for x in allow if x.endswith("*")]
+        named = page.isin(whole) if whole else F.lit(False)
+        for x in begun:
+            named = named | page.startswith(x)
+        kept = kept.where(named)
     if private is None:
         return kept
     gone = reached(private, graph) if graph is not None else private.select("page_id").distinct()
-    return allowlisted(kept, kept.select("page_id"), gone)
+    return kept.join(gone, "page_id", "left_anti")
 
 
 def resources(pages: DataFrame, mode: str, live_root: str | None = None) -> DataFrame:
@@ -92,16 +103,14 @@ def resources(pages: DataFrame, mode: str, live_root: str | None = None) -> Data
 
 
 def resource_files(found: DataFrame) -> DataFrame:
-    """rel_path, content: the resources as JSON, in files of about PAGES_A_FILE pages by a hash of the page; no file grows with the corpus."""
+    """rel_path, content: the resources as JSON, in parts of about PAGES_A_FILE pages by a hash of the page, and resources.json, which
+    lists the parts; one layout at every size, and no file grows with the pages' texts."""
     parts = max(1, -(-found.count() // PAGES_A_FILE))
     row = F.struct("page_id", "uri", "name", "path", "content_sha256")
     got = found.groupBy(F.pmod(F.xxhash64("page_id"), F.lit(parts)).alias("k")).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("content"))
-    name = F.lit("resources.json") if parts == 1 else F.concat(F.lit("resources/part-"), F.lpad(F.col("k").cast("string"), 6, "0"), F.lit(".json"))
-    files = got.select(name.alias("rel_path"), "content")
-    if parts > 1:
-        listing = json.dumps({"parts": parts, "pattern": "resources/part-NNNNNN.json"})
-        files = files.unionByName(found.sparkSession.createDataFrame([("resources.json", listing)], "rel_path string, content string"))
-    return files
+    name = F.concat(F.lit("resources/part-"), F.lpad(F.col("k").cast("string"), 6, "0"), F.lit(".json"))
+    listing = json.dumps({"parts": parts, "pattern": "resources/part-NNNNNN.json"})
+    return got.select(name.alias("rel_path"), "content").unionByName(found.sparkSession.createDataFrame([("resources.json", listing)], "rel_path string, content string"))
 
 
 def static_files(name: str, mode: str, n_pages: int, quality: list[dict], live_root: str | None = None) -> dict[str, str]:

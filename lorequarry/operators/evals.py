@@ -13,6 +13,8 @@ from lorequarry.operators.common import small
 
 #: Text of items without an inner phrase that is searched for (and broadcast) together; more is gone through in blocks of this many bytes.
 BLOCK_BYTES = 32_000_000
+#: Terms of a phrase by which longer items are looked for.
+PHRASE = 6
 #: Items of one length up to which each is looked for by itself; more are met with the page's windows of that length.
 FEW = 16
 
@@ -20,26 +22,19 @@ FEW = 16
 def containing(pages: DataFrame, items: DataFrame) -> DataFrame:
     """query_id, page_id of every page whose text contains an item's text (items: query_id, text).
 
-    A phrase of up to six inner terms of the item is looked for by an equi-join with the pages' phrases, and what is found is
-    held against the whole text; so there is no comparison of each page with each item, and where the items are few enough to be
-    broadcast, no phrase of a page is shuffled. Items of fewer than three terms have no inner phrase; substrings() finds them. An
-    empty item is in every page; null texts and null items are in none.
+    A phrase of PHRASE inner terms of the item is looked for by an equi-join with the pages' phrases, each page's read once, and
+    what is found is held against the whole text; so there is no comparison of each page with each item, and where the phrases are
+    few enough to be broadcast, no phrase of a page is shuffled. Items with fewer inner terms go to substrings(). An empty item is
+    in every page; null texts and null items are in none.
     """
     ts = terms(F.col("text"))
-    asked = items.select("query_id", F.col("text").alias("item"), ts.alias("ts")).where(F.size("ts") >= 3).withColumn("n", F.least(F.lit(6), F.size("ts") - 2)).withColumn("phrase", F.array_join(F.slice("ts", F.lit(2), F.col("n")), " "))
-    lengths = [r["n"] for r in asked.select("n").distinct().collect()]  # 1 to 6
-    out = None
-    for n in sorted(lengths):
-        own = asked.where(F.col("n") == n)
-        t = pages.select("page_id", "text", ts.alias("ts"))
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ts") - n + 1), lambda i: F.array_join(F.slice("ts", i, n), " ")))
-        found = t.where(F.size("ts") >= n).select("page_id", F.explode(grams).alias("phrase")).join(small(own.select("query_id", "phrase", "item")), "phrase")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return substrings(pages, items)
-    hit = out.select("query_id", "page_id", "item").distinct().join(pages.select("page_id", "text"), "page_id")
-    hit = hit.where(F.contains("text", "item")).select("query_id", "page_id")
-    return hit.unionByName(substrings(pages, items.where(F.size(ts) < 3)))
+    asked = items.where(F.size(ts) >= PHRASE + 2).select("query_id", F.array_join(F.slice(ts, 2, PHRASE), " ").alias("phrase"))
+    t = pages.select("page_id", ts.alias("ts")).where(F.size("ts") >= PHRASE)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ts") - PHRASE + 1), lambda i: F.array_join(F.slice("ts", i, PHRASE), " ")))
+    met = t.select("page_id", F.explode(grams).alias("phrase")).join(small(asked), "phrase").select("query_id", "page_id").distinct()
+    hit = met.join(items.select("query_id", F.col("text").alias("item")), "query_id").join(pages.select("page_id", "text"), "page_id")
+    hit = hit.where(F.contains("text", "item")).select("query_id", "page_id").distinct()
+    return hit.unionByName(substrings(pages, items.where(F.size(ts) < PHRASE + 2)))
 
 
 def substrings(pages: DataFrame, items: DataFrame) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorequarry.functions.text import links, safe_link, slug, terms
+from lorequarry.functions.text import SAFE_SCHEMES, links, safe_link, slug, terms
+from lorequarry.operators.common import cut, small
+
+#: Bytes of a slug from which a file name holds its beginning and a hash of it (file systems allow 255 bytes).
+NAME_BYTES = 180
 
 
 def term_counts(pages: DataFrame) -> DataFrame:
@@ -14,10 +20,16 @@ def term_counts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.size(t).cast("long").alias("n_terms"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
-def postings(pages: DataFrame) -> DataFrame:
-    """term, page_id, tf, page_len. One shuffle, on (term, page_id), so a term that every page has is spread."""
+def postings(pages: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """term, page_id, tf, page_len. One shuffle, on (term, page_id), so a term that every page has is spread.
+
+    only (term): other terms are left out before the shuffle; page_len still counts all.
+    """
     own = pages.select("page_id", terms(F.col("text")).alias("ts")).withColumn("page_len", F.size("ts").cast("long"))
-    return own.select("page_id", "page_len", F.explode("ts").alias("term")).groupBy("term", "page_id", "page_len").agg(F.count("*").alias("tf")).select("term", "page_id", "tf", "page_len")
+    each = own.select("page_id", "page_len", F.explode("ts").alias("term"))
+    if only is not None:
+        each = each.join(small(only.select("term").distinct()), "term", "left_semi")
+    return each.groupBy("term", "page_id", "page_len").agg(F.count("*").alias("tf")).select("term", "page_id", "tf", "page_len")
 
 
 def term_frequencies(posts: DataFrame) -> DataFrame:
@@ -30,8 +42,8 @@ def edges(pages: DataFrame, text_col: str = "text") -> DataFrame:
     return pages.select("page_id", F.posexplode(links(F.col(text_col))).alias("position", "href"))
 
 
-def safe_edges(found: DataFrame) -> DataFrame:
-    return found.withColumn("safe", safe_link(F.col("href")))
+def safe_edges(found: DataFrame, schemes: Sequence[str] = SAFE_SCHEMES) -> DataFrame:
+    return found.withColumn("safe", safe_link(F.col("href"), tuple(schemes)))
 
 
 def resolved(found: DataFrame, targets: DataFrame) -> DataFrame:
@@ -55,9 +67,23 @@ def numbered(rows: DataFrame, base: str, scope: list[str], order: list[str], out
 
 
 def file_names(pages: DataFrame, title: str = "title", suffix: str = ".html") -> DataFrame:
-    """page_id, slug, file_name. Only ids and slugs are shuffled."""
-    named = numbered(pages.select("page_id", slug(F.col(title)).alias("slug")), "slug", [], ["page_id"], "name")
-    return named.select("page_id", "slug", F.concat("name", F.lit(suffix)).alias("file_name"))
+    """page_id, slug, file_name. Only ids and slugs are shuffled.
+
+    Names are numbered as by numbered(), in order of page_id. A slug that very many pages have (pages without a title) is not
+    gathered: pages are range-partitioned by their id, a page's number is its place among its partition's pages of the slug plus
+    those of the partitions before. Slugs of over NAME_BYTES bytes give their first 40 characters and a hash.
+    """
+    own = slug(F.col(title))
+    named = pages.select("page_id", own.alias("slug")).repartitionByRange("page_id").withColumn("part", F.spark_partition_id())
+    rows = cut(named, "slugs")
+    counts = rows.groupBy("slug", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("slug").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("slug", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = rows.withColumn("n", F.row_number().over(Window.partitionBy("slug", "part").orderBy("page_id")))
+    n = F.col("n") + F.col("before")
+    short = F.when(F.octet_length("slug") > NAME_BYTES, F.concat(F.substring("slug", 1, 40), F.lit("-"), F.substring(F.md5("slug"), 1, 16))).otherwise(F.col("slug"))
+    name = F.when(n == 1, short).otherwise(F.concat(short, F.lit("--"), n.cast("string")))
+    return within.join(counts, ["slug", "part"]).select("page_id", "slug", F.concat(name, F.lit(suffix)).alias("file_name"))
 
 
 def sections(pages: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ def chunks(pages: DataFrame, step: int = 400) -> DataFrame:
 def ranked_chunks(page_chunks: DataFrame, retrieved: DataFrame, q_terms: DataFrame) -> DataFrame:
     """Chunks of each query's pages with hits (distinct query terms in the chunk) and chunk_rank within (query, page)."""
     asked = retrieved.select("query_id", "page_id").join(q_terms.groupBy("query_id").agg(F.collect_set("term").alias("ts")), "query_id")
-    both = page_chunks.join(asked, "page_id").withColumn("hits", F.size(F.array_intersect(terms(F.col("chunk")), F.col("ts"))).cast("long")).drop("ts")
+    own = page_chunks.withColumn("own", F.array_distinct(terms(F.col("chunk"))))  # once a chunk, however many queries have its page
+    both = own.join(asked, "page_id").withColumn("hits", F.size(F.array_intersect("own", "ts")).cast("long")).drop("ts", "own")
     w = Window.partitionBy("query_id", "page_id").orderBy(F.desc("hits"), "start_off")
     return both.withColumn("chunk_rank", F.row_number().over(w))
 

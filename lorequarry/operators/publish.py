@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.functions import markdown
-from lorequarry.functions.text import links
+from lorequarry.functions.text import SAFE_SCHEMES, links
 from lorequarry.operators.index import file_names
 
 
@@ -29,16 +29,20 @@ def outgoing(pages: DataFrame, names: DataFrame) -> DataFrame:
     return met.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("href", "file_name")))).alias("targets"))
 
 
-def rendered(pages: DataFrame, rewrite: bool = True) -> DataFrame:
-    """page_id, file_name, html. Needs page_id, title, text, lang and source; rewrite: local links get their target's file name."""
+def rendered(pages: DataFrame, rewrite: bool = True, schemes: Sequence[str] = SAFE_SCHEMES) -> DataFrame:
+    """page_id, file_name, html. Needs page_id, title, text, lang and source; rewrite: local links get their target's file name.
+
+    Links of other schemes than those given lose their link.
+    """
+    schemes = tuple(schemes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.to_pydict()
-            html = [markdown.page(t, x, {"source": s, "file": f}, dict(m or ()), lang) for t, x, s, lang, f, m in zip(d["title"], d["text"], d["source"], d["lang"], d["file_name"], d["targets"], strict=True)]
+            html = [markdown.page(t, x, {"source": s, "file": f}, dict(m or ()), lang, schemes) for t, x, s, lang, f, m in zip(d["title"], d["text"], d["source"], d["lang"], d["file_name"], d["targets"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d["file_name"], pa.string()), pa.array(html, pa.string())], names=["page_id", "file_name", "html"])
 
-    names = file_names(pages.select("page_id", F.substring("title", 1, 80).alias("title"))).select("page_id", "file_name")
+    names = file_names(pages.select("page_id", "title")).select("page_id", "file_name")
     rows = pages.join(names, "page_id")
     rows = rows.join(outgoing(pages, names), "page_id", "left") if rewrite else rows.withColumn("targets", F.lit(None).cast("map<string,string>"))
     rows = rows.select("page_id", "file_name", "title", "text", "source", "lang", "targets")

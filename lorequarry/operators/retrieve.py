@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorequarry.functions.text import terms
-from lorequarry.operators.common import small
+from lorequarry.operators.common import cut, small
+from lorequarry.operators.index import postings, term_frequencies
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -14,9 +15,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
 
 
-def expand(q_terms: DataFrame, glossary: DataFrame) -> DataFrame:
-    """q_terms united with the glossary's equivalents of each term, in both directions. glossary: term, equivalent."""
-    both = glossary.select("term", "equivalent").union(glossary.select("equivalent", "term")).distinct()
+def expand(q_terms: DataFrame, glossary: DataFrame, lang: str | None = None) -> DataFrame:
+    """q_terms united with the glossary's equivalents of each term, in both directions. glossary: term, equivalent.
+
+    lang: the queries' language; a word is then only looked up as one of that language (or of none), by the glossary's columns
+    lang and equivalent_lang.
+    """
+    if lang is None:
+        both = glossary.select("term", "equivalent").union(glossary.select("equivalent", "term")).distinct()
+    else:
+        each = glossary.select("term", "equivalent", "lang").union(glossary.select("equivalent", "term", "equivalent_lang"))
+        both = each.where(F.col("lang").isNull() | (F.col("lang") == lang)).select("term", "equivalent").distinct()
     more = q_terms.join(small(both), "term").select("query_id", F.col("equivalent").alias("term"))
     return q_terms.select("query_id", "term").union(more).distinct()
 
@@ -56,6 +65,22 @@ def retrieve(pages_postings: DataFrame, queries: DataFrame, k: int = 10, glossar
     return top(overlap_scores(matches(pages_postings, q)), [F.desc("matched"), F.desc("tf")], k)
 
 
+def retrieve_pages(pages: DataFrame, queries: DataFrame, k: int = 10, glossary: DataFrame | None = None) -> DataFrame:
+    """The same from pages without an index: only the queries' terms are ever shuffled."""
+    q = query_terms(queries)
+    q = expand(q, glossary) if glossary is not None else q
+    return top(overlap_scores(matches(postings(pages, q), q)), [F.desc("matched"), F.desc("tf")], k)
+
+
+def retrieve_bm25(pages: DataFrame, queries: DataFrame, k: int = 10, glossary: DataFrame | None = None) -> DataFrame:
+    """query_id, page_id, score, rank. Document frequencies are those of the queries' terms; the mean length is that of all pages."""
+    q = query_terms(queries)
+    q = expand(q, glossary) if glossary is not None else q
+    posts = cut(postings(pages, q), "postings")
+    n, size = pages.agg(F.count("*"), F.coalesce(F.sum(F.size(terms(F.col("text")))), F.lit(0))).first()
+    return top(bm25_scores(matches(posts, q), term_frequencies(posts), n, max(size, 1) / max(1, n)), [F.desc("score")], k)
+
+
 def with_context(seeds: DataFrame, graph: DataFrame) -> DataFrame:
     """query_id, page_id, role: the seeds, and their neighbours in the graph (src, dst) that aren't seeds of that query."""
     both = graph.select("src", "dst").union(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

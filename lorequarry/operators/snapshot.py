@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.functions.text import content_hash, sanitized
-from lorequarry.operators.common import cut
+from lorequarry.operators.common import cut, discard
+
+#: Most hops that are unrolled between two writes.
+HOPS = 16
 
 
 def allowlisted(pages: DataFrame, allowed: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -14,21 +17,34 @@ def allowlisted(pages: DataFrame, allowed: DataFrame, excluded: DataFrame) -> Da
     return pages.join(allowed.select("page_id"), "page_id", "left_semi").join(excluded.select("page_id"), "page_id", "left_anti")
 
 
-def reached(start: DataFrame, graph: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reached(start: DataFrame, graph: DataFrame) -> DataFrame:
     """page_id of start and everything that leads to it: a page that refers (src) to an excluded page (dst) is excluded too.
 
-    Breadth-first: each round joins the last round's new pages only, with the visited set kept out by an anti-join, so cycles
-    end; each round is written to the shared folder.
+    Breadth-first over the graph's ids, which are written once. Each round follows 1, 2, 4 ... up to HOPS hops from the last
+    round's new pages, keeps out the visited ones by an anti-join, so cycles end, and writes what is new; chains may have any length.
     """
-    seen = cut(start.select("page_id").where("page_id is not null").distinct(), "reached")
-    last = seen
-    for _ in range(max_rounds):
-        fresh = graph.join(last, graph["dst"] == last["page_id"]).select(F.col("src").alias("page_id")).where("page_id is not null").distinct().join(seen, "page_id", "left_anti")
-        fresh = cut(fresh, "reached")
-        if fresh.isEmpty():
-            return seen
-        seen, last = seen.unionByName(fresh), fresh
-    raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
+    known = graph.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct()
+    edges = cut(known, "graph")
+    last = cut(start.select("page_id").where("page_id is not null").distinct(), "reached")
+    seen, hops = [last], 1
+    while True:
+        step, met = last, None
+        for _ in range(hops):
+            step = edges.join(step.withColumnRenamed("page_id", "dst"), "dst").select(F.col("src").alias("page_id")).distinct()
+            met = step if met is None else met.unionByName(step)
+        before = seen[0]
+        for more in seen[1:]:
+            before = before.unionByName(more)
+        last = cut(met.distinct().join(before, "page_id", "left_anti"), "reached")
+        if last.isEmpty():
+            discard(edges, last)
+            return before
+        seen.append(last)
+        if len(seen) > 8:
+            whole = cut(before.unionByName(last), "reached")
+            discard(*seen[:-1])
+            seen = [whole]
+        hops = min(HOPS, 2 * hops)
 
 
 def clean(pages: DataFrame) -> DataFrame:

@@ -42,8 +42,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retrieved(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    posts = index.postings(_pages(spark, sf_dir))
-    return retrieve.retrieve(posts, _items(spark, sf_dir), k)
+    return retrieve.retrieve_pages(_pages(spark, sf_dir), _items(spark, sf_dir), k)
 
 
 def _glossary(spark: SparkSession) -> DataFrame:
@@ -51,7 +50,7 @@ def _glossary(spark: SparkSession) -> DataFrame:
 
 
 def _ranked_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _retrieved(spark, sf_dir, 5).withColumnRenamed("rank", "page_rank")
+    got = cut(_retrieved(spark, sf_dir, 5), "ranked").withColumnRenamed("rank", "page_rank")
     wanted = _pages(spark, sf_dir).join(got.select("page_id").distinct(), "page_id", "left_semi")
     ranked = pack.ranked_chunks(pack.chunks(wanted), got, retrieve.query_terms(_items(spark, sf_dir)))
     return ranked.join(got.select("query_id", "page_id", "page_rank"), ["query_id", "page_id"])
@@ -71,12 +70,14 @@ def chunk_split(spark, d):
 
 def slug_anchor(spark, d):
     """Anchors of each page's lines taken as headings: numbered within the page."""
-    lines = _pages(spark, d).select("page_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line")).where("line <> ''").select("page_id", "k", X.slug(F.substring("line", 1, 40)).alias("slug"))
+    lines = _pages(spark, d).select("page_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line")).where("line <> ''").select("page_id", "k", X.slug(F.col("line")).alias("slug"))
     return index.numbered(lines, "slug", ["page_id"], ["k"], "anchor")
 
 
 def file_name_collision(spark, d):
-    return index.file_names(_html(spark, d).select("page_id", F.substring("title", 1, 12).alias("title")))
+    """File names of the HTML pages, and of the documents as pages without a title but their language."""
+    docs = _pages(spark, d).select((-1 - F.col("page_id")).alias("page_id"), F.col("lang").alias("title"))
+    return index.file_names(_html(spark, d).select("page_id", "title").unionByName(docs))
 
 
 def link_extract(spark, d):
@@ -110,16 +111,11 @@ def retrieve_topk(spark, d):
 
 
 def retrieve_profile(spark, d):
-    posts = index.postings(retrieve.profiled(_pages(spark, d), "src1"))
-    return retrieve.retrieve(posts, _items(spark, d))
+    return retrieve.retrieve_pages(retrieve.profiled(_pages(spark, d), "src1"), _items(spark, d))
 
 
 def retrieve_bm25(spark, d):
-    posts = cut(index.postings(_pages(spark, d)), "postings")
-    stats = posts.select("page_id", "page_len").distinct().agg(F.sum("page_len").alias("s")).first()
-    n = _pages(spark, d).count()
-    found = retrieve.matches(posts, retrieve.query_terms(_items(spark, d)))
-    return retrieve.top(retrieve.bm25_scores(found, index.term_frequencies(posts), n, (stats["s"] or 0) / max(1, n)), [F.desc("score")], 10)
+    return retrieve.retrieve_bm25(_pages(spark, d), _items(spark, d))
 
 
 def glossary_expand(spark, d):
@@ -127,7 +123,7 @@ def glossary_expand(spark, d):
 
 
 def retrieve_expanded(spark, d):
-    return retrieve.retrieve(index.postings(_pages(spark, d)), _items(spark, d), 10, _glossary(spark))
+    return retrieve.retrieve_pages(_pages(spark, d), _items(spark, d), 10, _glossary(spark))
 
 
 def seed_context(spark, d):
@@ -150,7 +146,8 @@ def pack_sources(spark, d):
 
 
 def pack_reasons(spark, d):
-    found = retrieve.matches(index.postings(_pages(spark, d)), retrieve.query_terms(_items(spark, d)))
+    asked = retrieve.query_terms(_items(spark, d))
+    found = retrieve.matches(index.postings(_pages(spark, d), asked), asked)
     kept = found.join(_retrieved(spark, d).select("query_id", "page_id"), ["query_id", "page_id"], "left_semi")
     return retrieve.reasons(kept).select("query_id", "page_id", F.array_join("reasons", " ").alias("reasons"))
 
@@ -220,7 +217,7 @@ def snapshot_manifest(spark, d):
 
 def section_spans(spark, d):
     """Sections of the documents with each line set as a heading, and every second word of it below."""
-    marked = _pages(spark, d).select("page_id", F.concat(F.lit("# "), F.regexp_replace(F.substring("text", 1, 60), "[#\n]+", " "), F.lit("\nbody\n## "), F.col("lang"), F.lit("\n"), F.col("text")).alias("text"))
+    marked = _pages(spark, d).select("page_id", F.concat(F.lit("# "), F.regexp_replace("text", "[#\n]+", " "), F.lit("\nbody\n## "), F.col("lang"), F.lit("\n"), F.col("text")).alias("text"))
     return index.sections(marked).select("page_id", "section_no", "level", "start_off", "end_off", "anchor")
 
 
@@ -332,8 +329,8 @@ ORACLES = {
     "content_hash": "select doc_id as page_id, sha256(text) as hash from documents",
     "chunk_split": f"with {_P}, {_C} select page_id, chunk_no::int as chunk_no, start_off::bigint as start_off, end_off::bigint as end_off, sha256(chunk) as hash, sha256(page_id || '|' || start_off || '|' || sha256(chunk)) as chunk_id from c",
     "slug_anchor": f"""with l as (select doc_id as page_id, (i - 1)::int as k, ls[i] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents)) where line <> ''),
-s as (select page_id, k, {_SLUG.format("substr(line, 1, 40)")} as slug from l), m as (select *, row_number() over (partition by page_id, slug order by k) as n from s) select page_id, k, slug, {_NAMED} as anchor from m""",
-    "file_name_collision": f"with {_H}, s as (select page_id, {_SLUG.format('substr(title, 1, 12)')} as slug from h), m as (select *, row_number() over (partition by slug order by page_id) as n from s) select page_id, slug, {_NAMED} || '.html' as file_name from m",
+s as (select page_id, k, {_SLUG.format("line")} as slug from l), m as (select *, row_number() over (partition by page_id, slug order by k) as n from s) select page_id, k, slug, {_NAMED} as anchor from m""",
+    "file_name_collision": f"with {_H}, s as (select page_id, {_SLUG.format('title')} as slug from (select page_id, title from h union all select -1 - doc_id, lang from documents)), m as (select *, row_number() over (partition by slug order by page_id) as n from s) select page_id, slug, {_NAMED} || '.html' as file_name from m",
     "link_extract": f"with {_H}, {_E} select * from e",
     "link_safe_scheme": f"with {_H}, {_E}, b as (select page_id, href from e union all select page_id, url from h) select page_id, href, {_SAFE} as safe from b",
     "link_resolve": f"with {_H}, {_E}, {_RES} select * from res",
@@ -374,7 +371,7 @@ select query_id, expected, found, found > 0 as hit, round(coalesce(1.0 / best, 0
     "bundle_resources": f"""with c as (select doc_id::varchar as page_id, {_CLEAN} as clean from documents)
 select page_id, 'wiki://page/' || page_id as uri, page_id as name, 'snapshot/wiki/' || page_id || '.md' as path, sha256(clean) as content_sha256 from c""",
     "query_log_windows": """select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type as profile, count(*) as queries, count(*) filter (not coalesce(value > 50, false)) as empty from events group by all""",
-    "section_spans": rf"""with m as (select doc_id as page_id, '# ' || regexp_replace(substr(text, 1, 60), '[#\n]+', ' ', 'g') || chr(10) || 'body' || chr(10) || '## ' || lang || chr(10) || text as text from documents),
+    "section_spans": rf"""with m as (select doc_id as page_id, '# ' || regexp_replace(text, '[#\n]+', ' ', 'g') || chr(10) || 'body' || chr(10) || '## ' || lang || chr(10) || text as text from documents),
 l as (select page_id, size, k, ls[k] as line from (select page_id, length(text) as size, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as k from m)),
 pl as (select *, coalesce(sum(length(line) + 1) over (partition by page_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as start_off from l),
 hd as (select *, length(regexp_extract(line, '^(#+)', 1))::int as level, regexp_extract(line, '^#+\s+(.*?)\s*#*\s*$', 1) as heading from pl where regexp_matches(line, '^#{{1,6}}\s+\S')),

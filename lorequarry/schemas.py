@@ -13,6 +13,8 @@ PAGES = T.StructType(
         T.StructField("sources", T.ArrayType(T.StringType())),
         T.StructField("confidence", T.DoubleType()),
         T.StructField("contested", T.BooleanType()),
+        T.StructField("private", T.BooleanType()),
+        T.StructField("front", T.MapType(T.StringType(), T.StringType())),
         T.StructField("text", T.StringType()),
     ]
 )
@@ -30,6 +32,7 @@ QUERY_LOG = T.StructType(
     ]
 )
 EVALS = T.StructType([T.StructField("eval_id", T.StringType()), T.StructField("query", T.StringType()), T.StructField("expected_page_ids", T.ArrayType(T.StringType()))])
+HASHES = T.StructType([T.StructField("kind", T.StringType()), T.StructField("path", T.StringType()), T.StructField("sha256", T.StringType())])
 CHUNKS = T.StructType(
     [
         T.StructField("query_id", T.StringType()),
@@ -46,7 +49,7 @@ CHUNKS = T.StructType(
         T.StructField("reasons", T.ArrayType(T.StringType())),
     ]
 )
-ALL = {"raw_notes": RAW_NOTES, "pages": PAGES, "postings": POSTINGS, "edges": EDGES, "glossary": GLOSSARY, "query_log": QUERY_LOG, "evals": EVALS, "context_chunks": CHUNKS}
+ALL = {"raw_notes": RAW_NOTES, "pages": PAGES, "postings": POSTINGS, "edges": EDGES, "glossary": GLOSSARY, "query_log": QUERY_LOG, "evals": EVALS, "source_hashes": HASHES, "context_chunks": CHUNKS}
 
 
 def with_corrupt(schema: T.StructType) -> T.StructType:

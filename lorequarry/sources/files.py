@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import os
 import posixpath
 import re
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorequarry.operators.common import cut
+
 WRITTEN = "rel_path string, n_bytes long, content_sha256 string"
 
 
@@ -66,7 +69,7 @@ def empty_files(spark: SparkSession, root: str, glob: str) -> list[str]:
     fs, top = _hadoop(spark, root)
     base = top.toUri().getPath().rstrip("/") + "/"
     if fs.getScheme() == "file":
-        return sorted(p.relative_to(base).as_posix() for p in Path(base).rglob(glob) if p.is_file() and not p.stat().st_size)
+        return sorted(p.relative_to(base).as_posix() for p in Path(base).rglob(glob) if p.is_file() and not p.is_symlink() and not p.stat().st_size)
     found, listed = [], fs.listFiles(top, True)
     while listed.hasNext():
         f = listed.next()
@@ -75,9 +78,22 @@ def empty_files(spark: SparkSession, root: str, glob: str) -> list[str]:
     return sorted(found)
 
 
+def symbolic_links(spark: SparkSession, root: str) -> list[str]:
+    """Relative paths of the symbolic links below a local root (other file systems are read by Spark without any); none is followed."""
+    fs, top = _hadoop(spark, root)
+    if fs.getScheme() != "file":
+        return []
+    base, found = top.toUri().getPath(), []
+    for folder, folders, names in os.walk(base, followlinks=False):
+        found += [Path(folder, n).relative_to(base).as_posix() for n in folders + names if Path(folder, n).is_symlink()]
+    return sorted(found)
+
+
 def read_whole(spark: SparkSession, root: str, glob: str = "*", text: bool = True) -> DataFrame:
     """path (relative to root) and content of every file below root that glob matches; no rows where root isn't there.
 
+    What is reached through a symbolic link below root, be it a file or a folder, is left out, wherever the link leads.
+
     text: content is the file as one string; else its bytes. One row a file, read by the executors.
     """
     kind = "string" if text else "binary"
@@ -89,6 +105,11 @@ def read_whole(spark: SparkSession, root: str, glob: str = "*", text: bool = Tru
     full = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
     full = F.url_decode(F.replace(full, F.lit("+"), F.lit("%2B")))
     out = rows.select(F.substring(full, F.lit(len(base) + 1), F.length(full)).alias("path"), F.col("content").cast(kind).alias("content"))
+    if links := symbolic_links(spark, root):
+        # a path's beginnings: a, a/b, a/b/c
+        parts = F.split("path", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        out = out.where(~F.arrays_overlap(above, F.lit(links)))
     if empty := empty_files(spark, root, glob):
         none = spark.createDataFrame([(p,) for p in empty], "path string").withColumn("content", F.lit("").cast(kind))
         out = out.unionByName(none)
@@ -99,8 +120,8 @@ def write_whole(files: DataFrame, root: str) -> DataFrame:
     """Write rel_path, content as files below root and return what was written (rel_path, n_bytes, content_sha256).
 
     The executors write, through pyarrow's file systems, so nothing is gathered. A file's name and bytes follow from its row,
-    so a task that runs again writes the same. Paths out of the root are refused. The result is computed once, by a write to
-    root's .written folder, and read from there.
+    so a task that runs again writes the same. Paths out of the root are refused. The result is computed once, by a write to the
+    shared work folder, and read from there; nothing but the files is left below root.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +144,7 @@ def write_whole(files: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["rel_path", "n_bytes", "content_sha256"])
 
     root = qualified(root)
-    out = f"{root}/.written"
-    files.select("rel_path", "content").mapInArrow(run, WRITTEN).write.mode("overwrite").parquet(out)
-    return files.sparkSession.read.schema(WRITTEN).parquet(out)
+    return cut(files.select("rel_path", "content").mapInArrow(run, WRITTEN), "written")
 
 
 def qualified(path: str) -> str:

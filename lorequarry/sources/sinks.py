@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.sources.files import confined, exists, qualified, remove, write_whole
-from lorequarry.sources.wiki import CONTRACT, merged
+from lorequarry.sources.wiki import CONTRACT, HASHES, merged
 
 LAYERS = ("profiles", "raw", "wiki", "query-log.jsonl", "reports/context-packs", "reports/publish/html", "reports/publish/mcp")
 
@@ -45,6 +45,12 @@ def write_index(postings: DataFrame, edges: DataFrame, root: str) -> None:
     edges.select("src", "href", "dst").write.mode("overwrite").json(f"{root}/link-graph.json")
 
 
+def write_hashes(pages: DataFrame, notes: DataFrame, root: str) -> None:
+    """Record the hashes (path, sha256) of page files and raw notes that the index was built from."""
+    both = pages.select(F.lit("page").alias("kind"), "path", "sha256").unionByName(notes.select(F.lit("raw").alias("kind"), "path", "sha256"))
+    both.write.mode("overwrite").json(f"{root}/{HASHES}")
+
+
 def append_log(retrieved: DataFrame, queries: DataFrame, root: str, profile: str | None = None) -> None:
     """One line for each query: query_id, ts, query, profile, result_page_ids in order of rank (lists are as short as k)."""
     ranked = retrieved.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("page_id").cast("string").alias("p")))), lambda x: x["p"]).alias("result_page_ids"))

@@ -20,8 +20,11 @@ CONTRACT: dict[str, Any] = {
     "default_profile": "general",
     "retrieval": {"top_k": 10, "glossary": True},
     "context_pack": {"max_chars_per_page": 1800, "max_chunks_per_page": 8, "chunk_chars": 400},
-    "publish": {"mode": "snapshot", "safe_schemes": ["http", "https", "mailto"]},
+    # allow: page ids, or beginnings of them that end in *; null admits all. private: page ids that no snapshot carries.
+    "publish": {"mode": "snapshot", "safe_schemes": ["http", "https", "mailto"], "allow": None, "private": []},
 }
+#: Where the index records the hashes of pages and raw notes.
+HASHES = "reports/source-hashes.json"
 _FRONT = r"(?s)^---\n(.*?)\n---(?:\n|$)"
 
 
@@ -39,6 +42,22 @@ def contract(root: str | Path) -> dict:
     return merged(CONTRACT, json.loads(path.read_text("utf-8")) if path.exists() else {})
 
 
+def contract_findings(found: dict, known: dict = CONTRACT, at: str = "") -> list[str]:
+    """What a contract sets that the defaults know with another type, or an unknown mode; unknown keys are free."""
+    out = []
+    for k, v in found.items():
+        default = known.get(k)
+        if isinstance(default, dict) and isinstance(v, dict):
+            out += contract_findings(v, default, f"{at}{k}.")
+        elif k in known and default is not None and (not isinstance(v, type(default)) or isinstance(v, bool) != isinstance(default, bool)):
+            out.append(f"{at}{k} must be of type {type(default).__name__}")
+        elif isinstance(default, int) and not isinstance(default, bool) and v <= 0:
+            out.append(f"{at}{k} must be positive")
+        elif at + k == "publish.mode" and v not in ("snapshot", "linked"):
+            out.append(f"{at}{k} must be snapshot or linked")
+    return out
+
+
 def profiles(root: str | Path) -> dict[str, dict]:
     """Every extraction profile by its file's name."""
     folder = confined(root, "profiles")
@@ -79,13 +98,20 @@ def parsed_pages(files: DataFrame) -> DataFrame:
         sources.alias("sources"),
         _field(front, "confidence").try_cast("double").alias("confidence"),
         F.coalesce(F.lower(_field(front, "contested")).isin("true", "yes", "1"), F.lit(False)).alias("contested"),
+        F.coalesce(F.lower(_field(front, "private")).isin("true", "yes", "1"), F.lit(False)).alias("private"),
+        F.when(c.rlike(_FRONT), F.str_to_map(F.regexp_replace(front, r"(?m)^[ \t]+|[ \t]+$|(?<=:)[ \t]+", ""), F.lit("\n"), F.lit(":"))).alias("front"),
         text.alias("text"),
     )
 
 
+def page_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, content of every *.md file below wiki."""
+    return read_whole(spark, f"{root}/wiki", "*.md")
+
+
 def pages(spark: SparkSession, root: str) -> DataFrame:
     """The canonical pages: every *.md file below wiki."""
-    return parsed_pages(read_whole(spark, f"{root}/wiki", "*.md"))
+    return parsed_pages(page_files(spark, root))
 
 
 def _json(spark: SparkSession, path: str, schema, lines: bool) -> DataFrame:
@@ -94,15 +120,20 @@ def _json(spark: SparkSession, path: str, schema, lines: bool) -> DataFrame:
         return spark.createDataFrame([], schema)
     if not lines:
         return spark.read.schema(schema).option("multiLine", "true").json(path)
-    return spark.read.schema(schemas.with_corrupt(schema)).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    row = F.from_json("value", schemas.with_corrupt(schema), {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return spark.read.text(path).where(F.trim("value") != "").select(row.alias("x")).select("x.*")
+
+
+def glossary_lines(spark: SparkSession, root: str) -> DataFrame:
+    """glossary.jsonl as it is, with _corrupt_record."""
+    return _json(spark, f"{root}/glossary.jsonl", schemas.GLOSSARY, True)
 
 
 def glossary(spark: SparkSession, root: str) -> DataFrame:
-    """term, equivalent of both glossary files, as pairs in each direction."""
+    """term, lang, equivalent, equivalent_lang of both glossary files; retrieve.expand goes both ways."""
     rows = _json(spark, f"{root}/glossary.json", schemas.GLOSSARY, False)
-    more = _json(spark, f"{root}/glossary.jsonl", schemas.GLOSSARY, True)
-    both = rows.select("term", "equivalents").unionByName(more.select("term", "equivalents")).where("term is not null")
-    pairs = both.select(F.lower("term").alias("term"), F.explode("equivalents").alias("e")).select("term", F.lower("e.term").alias("equivalent"))
+    both = rows.select("term", "lang", "equivalents").unionByName(glossary_lines(spark, root).select("term", "lang", "equivalents")).where("term is not null")
+    pairs = both.select(F.lower("term").alias("term"), "lang", F.explode("equivalents").alias("e")).select("term", "lang", F.lower("e.term").alias("equivalent"), F.col("e.lang").alias("equivalent_lang"))
     return pairs.where("equivalent is not null and equivalent <> term").distinct()
 
 
@@ -127,3 +158,13 @@ def link_graph(spark: SparkSession, root: str) -> DataFrame:
 def hashed(files: DataFrame) -> DataFrame:
     """path, sha256 of path, content."""
     return files.select("path", content_hash(F.col("content")).alias("sha256"))
+
+
+def current_hashes(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """path, sha256 of all page files, and of all raw notes."""
+    return hashed(page_files(spark, root)), raw_notes(spark, root).select("path", F.col("content_sha256").alias("sha256"))
+
+
+def recorded_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """kind (page or raw), path, sha256 as they were when the index was built."""
+    return _json(spark, f"{root}/{HASHES}", schemas.HASHES, True).select("kind", "path", "sha256")

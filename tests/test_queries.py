@@ -3,20 +3,23 @@
 import pytest
 from oracle import connect, rows_of, rows_of_sql
 
+from lorequarry.plans import layers
 from lorequarry.plans import queries as Q
 
+QUERIES, ORACLES = Q.queries() | layers.queries(), Q.ORACLES | layers.ORACLES
 
-@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_its_oracle(spark, sf_dir, name):
-    frame = Q.queries()[name](spark, sf_dir)
-    names, want = rows_of_sql(connect(sf_dir), Q.ORACLES[name])
+    frame = QUERIES[name](spark, sf_dir)
+    names, want = rows_of_sql(connect(sf_dir), ORACLES[name])
     assert sorted(frame.columns) == names
     assert rows_of(frame) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_others_give_rows(spark, sf_dir, name):
-    assert Q.queries()[name](spark, sf_dir).count() > 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_driver_contract(spark, sf_dir):

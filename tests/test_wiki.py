@@ -59,9 +59,10 @@ def test_missing_layers_are_empty(spark, tmp_path):
 
 def test_glossary_goes_both_ways(spark, root):
     pairs = {tuple(r) for r in wiki.glossary(spark, root).collect()}
-    assert pairs == {("fox", "füchse"), ("red", "rot")}
+    assert pairs == {("fox", "en", "füchse", "de"), ("red", "en", "rot", "de")}
     q = spark.createDataFrame([("q", "rot")], "query_id string, text string")
-    assert {r["term"] for r in retrieve.expand(retrieve.query_terms(q), wiki.glossary(spark, root)).collect()} == {"rot", "red"}
+    words = lambda lang: {r["term"] for r in retrieve.expand(retrieve.query_terms(q), wiki.glossary(spark, root), lang).collect()}
+    assert words(None) == words("de") == {"rot", "red"} and words("en") == {"rot"}  # "rot" is no English entry
 
 
 def test_index_round_trip(spark, root):
@@ -131,7 +132,10 @@ def test_bundle(spark, root, mode):
         assert "/home/user" not in open(f"{copies}/sub/beta.md", encoding="utf-8").read()
         assert root not in "".join(read(n) for n in ("manifest.json", "resources.json", "server-config.json"))
     else:
-        assert json.loads(read("resources.json"))[0]["path"].startswith(root)
+        assert json.loads(read("resources/part-000000.json"))[0]["path"].startswith(root)
+    listing = json.loads(read("resources.json"))
+    assert listing["parts"] == 1 and len(json.loads(read("resources/part-000000.json"))) == 5
+    assert not any(n.startswith(".") for n in os.listdir(out))
 
 
 def test_strict_bundle_stops(spark, root):
@@ -237,3 +241,136 @@ def test_query_log_stream(spark, tmp_path):
     assert closed == {("2024-01-01 00:00:00", 2, 1), ("2024-01-01 01:00:00", 1, 0)}
     whole = {(str(r["window_start"]), r["queries"], r["empty"]) for r in query_log.windowed(log.withColumn("ts", F.to_timestamp("ts"))).collect()}
     assert whole == closed | {("2024-01-01 05:00:00", 1, 0)}
+
+
+def knowledge(top, pages, contract=None, **files_):
+    sinks.init_wiki(top, contract)
+    for name, text in pages.items():
+        (top / "wiki" / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / "wiki" / name).write_text(text, "utf-8")
+    for name, text in files_.items():
+        (top / name.replace("__", "/")).write_text(text, "utf-8")
+    return str(top)
+
+
+def test_links_on_disk_are_not_followed(spark, tmp_path, capsys):
+    outside = tmp_path / "outside"
+    (outside / "deep").mkdir(parents=True)
+    for n in ("secret.md", "deep/more.md", "empty.md"):
+        (outside / n).write_text("" if n == "empty.md" else "# Secret", "utf-8")
+    root = knowledge(tmp_path / "kb", {"a.md": "# A", "sub/b.md": "# B", "linked-not.md": "# C"})
+    (tmp_path / "kb/wiki/link.md").symlink_to(outside / "secret.md")
+    (tmp_path / "kb/wiki/none.md").symlink_to(outside / "empty.md")
+    (tmp_path / "kb/wiki/folder").symlink_to(outside)
+    (tmp_path / "kb/wiki/linked").symlink_to(outside / "deep")
+    (tmp_path / "kb/raw/x.txt").symlink_to(outside / "secret.md")
+    assert {r["page_id"] for r in wiki.pages(spark, root).collect()} == {"a", "sub/b", "linked-not"}
+    assert wiki.raw_notes(spark, root).count() == 0
+    assert cli.main(["publish-mcp", root]) == 0
+    capsys.readouterr()
+    copied = [os.path.join(d, f) for d, _, fs in os.walk(f"{root}/reports/publish/mcp/snapshot") for f in fs]
+    assert len(copied) == 3 and not any("Secret" in open(f, encoding="utf-8").read() for f in copied)
+    # a root that is itself a link is the user's own choice
+    (tmp_path / "way").symlink_to(tmp_path / "kb")
+    assert wiki.pages(spark, f"{tmp_path}/way").count() == 3
+
+
+def test_snapshots_follow_the_contract(spark, tmp_path, capsys):
+    pages = {"a.md": "# A", "b.md": "[to c](c.md)", "c.md": "[to d](d.md)", "d.md": "---\nprivate: true\n---\nsecret", "e.md": "[to f](f.md)", "f.md": "named in the contract", "x/g.md": "# G", "x/h.md": "# H"}
+    root = knowledge(tmp_path / "kb", pages, {"publish": {"private": ["f"], "allow": ["a", "b", "c", "d", "e", "f", "x/g*"]}})
+    assert cli.main(["publish-mcp", root]) == 0
+    capsys.readouterr()
+    top = f"{root}/reports/publish/mcp/snapshot/wiki"
+    assert sorted(os.path.relpath(os.path.join(d, f), top) for d, _, fs in os.walk(top) for f in fs) == ["a.md", "x/g.md"]
+    assert json.load(open(f"{root}/reports/publish/mcp/manifest.json", encoding="utf-8"))["pages"] == 2
+
+
+def test_validation_rules(spark, tmp_path, capsys):
+    pages = {"a.md": "---\nprofile: general\ntitle: A\nsources: [raw/a.txt, raw/none.txt, https://x.org/]\n---\ntext", "B.md": "plain", "b.md": "---\nprofile: lost\n---\ntext"}
+    root = knowledge(tmp_path / "kb", pages, None, **{"raw__a.txt": "note", "raw__z.txt": "note z", "query-log.jsonl__x.json": "broken\n"})
+    (tmp_path / "kb/profiles/general.json").write_text('{"fields": ["title", "owner"]}', "utf-8")
+    (tmp_path / "kb/delivery-contract.json").write_text('{"retrieval": {"top_k": 0}, "publish": {"mode": "web"}, "core_direction": 3, "own": 1}', "utf-8")
+    (tmp_path / "kb/retrieval-evals.jsonl").write_text('{"eval_id": "e"}\n{"eval_id": \n', "utf-8")
+
+    def told():
+        assert cli.main(["validate", root, "--json"]) == 1
+        return {(x["rule"], x["page_id"], x["message"]) for x in json.loads(capsys.readouterr().out)}
+
+    found = told()
+    assert {x[:2] for x in found} >= {("unknown_source", "a"), ("missing_field", "a"), ("missing_front_matter", "B"), ("unknown_profile", "b"), ("duplicate_page_id", "b"), ("duplicate_page_id", "B"), ("corrupt_line", "query-log.jsonl"), ("corrupt_line", "retrieval-evals.jsonl")}
+    assert {x[2] for x in found if x[0] == "bad_contract"} == {"retrieval.top_k must be positive", "publish.mode must be snapshot or linked", "core_direction must be of type str"}
+    assert {x[2] for x in found if x[0] == "missing_field"} == {"profile general requires owner"} and {x[2] for x in found if x[0] == "unknown_source"} == {"no raw note raw/none.txt"}
+    assert not {x for x in found if x[0] in ("stale_artifact", "raw_drift")}  # no index yet
+    (tmp_path / "kb/delivery-contract.json").unlink()
+    assert cli.main(["build-index", root, "--write"]) == 0
+    (tmp_path / "kb/wiki/B.md").write_text("changed", "utf-8")
+    (tmp_path / "kb/wiki/new.md").write_text("new", "utf-8")
+    (tmp_path / "kb/wiki/b.md").unlink()
+    (tmp_path / "kb/raw/a.txt").write_text("another note", "utf-8")
+    (tmp_path / "kb/raw/z.txt").unlink()
+    capsys.readouterr()
+    assert {x for x in told() if x[0] in ("stale_artifact", "raw_drift")} == {("stale_artifact", f"{p}.md", f"page is {s} since the index was built") for p, s in (("B", "changed"), ("new", "new"), ("b", "gone"))} | {("raw_drift", f"{p}.txt", f"raw is {s} since the index was built") for p, s in (("a", "changed"), ("z", "gone"))}
+    (tmp_path / "kb/delivery-contract.json").write_text("not json", "utf-8")
+    assert any(x[0] == "bad_contract" for x in told())
+
+
+def test_settings_of_the_contract_are_read(spark, tmp_path, capsys):
+    pages = {"a.md": "the fox [ftp](ftp://x.org/) [web](https://x.org/)", "b.md": "ein fuchs"}
+    root = knowledge(tmp_path / "kb", pages, {"retrieval": {"glossary": False}, "publish": {"safe_schemes": ["ftp"]}})
+    (tmp_path / "kb/glossary.json").write_text(json.dumps([{"term": "fox", "lang": "en", "equivalents": [{"term": "fuchs", "lang": "de"}]}]), "utf-8")
+    ranked = lambda: {r["page_id"] for r in cli.retrieved(spark, root, "fox", 10, None)[2].collect()}
+    assert ranked() == {"a"}
+    assert cli.main(["publish-html", root]) == 0
+    html = open(f"{root}/reports/publish/html/a.html", encoding="utf-8").read()
+    assert 'href="ftp://x.org/"' in html and "https://x.org" not in html
+    (tmp_path / "kb/delivery-contract.json").unlink()
+    assert ranked() == {"a", "b"}
+    capsys.readouterr()
+
+
+def test_reports_are_whole(spark, capsys):
+    cli._tell(spark.range(2500), True)
+    assert len(json.loads(capsys.readouterr().out)) == 2500
+    cli._tell(spark.range(0), True)
+    assert json.loads(capsys.readouterr().out) == []
+    cli._tell(spark.range(1500), False)
+    assert len(capsys.readouterr().out.splitlines()) == 1500
+
+
+def test_a_slug_that_most_pages_have(spark):
+    rows = spark.range(5000).selectExpr("id as page_id", "if(id % 5 = 4, concat('own ', id), '') as title")
+    got = {r["page_id"]: r["file_name"] for r in index.file_names(rows).collect()}
+    hot = [i for i in range(5000) if i % 5 != 4]
+    assert [got[i] for i in hot] == ["section.html", *(f"section--{k}.html" for k in range(2, len(hot) + 1))] and len(set(got.values())) == 5000
+
+
+def test_long_titles_keep_their_own_names(spark):
+    titles = ["word " * 100 + x for x in ("a", "b", "a")] + ["é" * 90, "e" * 180]
+    rows = spark.createDataFrame(list(enumerate(titles)), "page_id int, title string")
+    names = [r["file_name"] for r in index.file_names(rows).orderBy("page_id").collect()]
+    assert len(set(names)) == 5 and all(len(n.encode()) <= 255 for n in names) and names[2] == names[0].replace(".html", "--2.html")
+    assert names[3] == "é" * 90 + ".html" and names[4] == "e" * 180 + ".html"
+
+
+def test_long_chains_and_cycles_are_followed(spark):
+    n = 150
+    chain = [(i + 1, i) for i in range(n)] + [(5, 90), (None, 3), (4, None)] + [(1000 + (i + 1) % 7, 1000 + i) for i in range(7)]
+    links = spark.createDataFrame(chain, "src long, dst long")
+    start = spark.createDataFrame([(0,), (None,), (1003,), (7777,)], "page_id long")
+    rows = snapshot.reached(start, links).collect()
+    assert len(rows) == n + 1 + 7 + 1 and {r["page_id"] for r in rows} == {*range(n + 1), *range(1000, 1007), 7777}
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from lorequarry.operators.common import small
+
+    hinted = lambda df, **how: "hint=(strategy=broadcast)" in small(df, **how)._jdf.queryExecution().analyzed().toString() or "ResolvedHint" in small(df, **how)._jdf.queryExecution().analyzed().toString()
+    df = spark.range(100).selectExpr("id", "repeat('x', 1000) as t")
+    assert hinted(df) and not hinted(df, rows=99) and not hinted(df, size=50_000)
+
+
+def test_items_of_few_terms_and_of_many(spark):
+    pages = spark.createDataFrame([(1, "zero one two three four five six seven eight"), (2, "one, two three"), (3, "no")], "page_id int, text string")
+    items = spark.createDataFrame([(n, " ".join("one two three four five six seven eight".split()[:n])) for n in range(1, 9)] + [(20, "one, two")], "query_id int, text string")
+    got = sorted(tuple(r) for r in evals.containing(pages, items).collect())
+    assert got == sorted([(n, 1) for n in range(1, 9)] + [(1, 2), (20, 2)])
