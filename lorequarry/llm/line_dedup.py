@@ -101,12 +101,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = there.select(*key, F.explode(F.transform("__asked", tell)).alias("x")).select(*key, "x.*")
     firsts = told.where("is_first").select("c", F.col("bytes").alias("first_bytes"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
     same = skew_join(told.where("not is_first"), firsts, "c").where("bytes = first_bytes")
-    same = same.select(*key, "k", "n", _agree("before", "first_before", True).alias("b"), _agree("after", "first_after", False).alias("a"))
-    gone = same.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("k", F.struct("n", "b", "a").alias("v")))).alias("__gone"))
+    same = same.select(*key, "k", "n", _agree("before", "first_before", True).alias("b"), _agree("after", "first_after", False).alias("a"), F.size("after").alias("next"))
+    gone = same.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("k", F.struct("n", "b", "a", "next").alias("v")))).alias("__gone"))
+    # Sums are taken here, from the removed chunks alone, so that a filter on them needs none of the work below. Of a chunk between two
+    # removed ones no more than its lines go.
+    at = lambda k: F.try_element_at("__gone", k)
+    behind = lambda e: F.when(at(e["key"] + 1).isNotNull(), 0).otherwise(F.least(e["value"]["next"], e["value"]["a"] + F.coalesce(at(e["key"] + 2)["b"], F.lit(0))))
+    before = lambda e: F.when(at(e["key"] - 1).isNull() & at(e["key"] - 2).isNull(), e["value"]["b"]).otherwise(0)
+    total = F.aggregate(F.map_entries("__gone"), F.lit(0), lambda n, e: n + e["value"]["n"] + behind(e) + before(e))
+    gone = gone.select(*key, "__gone", F.size(F.map_keys("__gone")).alias("__chunks"), total.alias("__sum"))
 
     out = _marked(met.drop("__asked").join(gone, key, "left"), "__text", passage_bytes)
     ends, lines, known = F.col("__ends"), F.col("__lines"), F.col("__text").isNotNull()
-    at = lambda k: F.try_element_at("__gone", k)
     # Of each chunk: its lines, those that go at its beginning and at its end; a removed chunk's go all.
     trims = F.transform(ends, lambda x, k: F.struct((x["e"] - _start(k) + 1).alias("n"), F.coalesce(at(k)["n"], at(k - 1)["a"], F.lit(0)).alias("head"), F.when(at(k).isNotNull(), 0).otherwise(F.coalesce(at(k + 1)["b"], F.lit(0))).alias("tail")))
     out = out.withColumn("__trims", F.when(F.col("__gone").isNotNull(), trims))
@@ -115,8 +121,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Each chunk that stays is joined with line breaks, and they again; so no line is looked at twice.
     pieces = F.transform(ends, lambda x, k: F.when(left(k) > 0, F.array_join(F.slice(lines, _start(k) + 1 + trim(k)["head"], left(k)), "\n")))
     out = out.withColumn("__clean", F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.filter(pieces, lambda p: p.isNotNull()), "\n")))
-    removed = F.aggregate("__trims", F.lit(0), lambda n, t: n + F.least(t["n"], t["head"] + t["tail"]))
-    numbers = [F.when(known, F.size(lines)).otherwise(0), F.when(known, F.size(ends)).otherwise(0), F.coalesce(F.size(F.map_keys("__gone")), F.lit(0)), F.coalesce(removed, F.lit(0))]
+    numbers = [F.when(known, F.size(lines)).otherwise(0), F.when(known, F.size(ends)).otherwise(0), F.coalesce("__chunks", F.lit(0)), F.coalesce("__sum", F.lit(0))]
     out = out.select(*key, "__clean", *(n.cast("long").alias(c) for n, c in zip(numbers, added, strict=True)))
     return rowed.drop(text_col).join(out, key).withColumnRenamed("__clean", text_col).select(*docs.columns, *added)
 

@@ -53,6 +53,8 @@ def test_lines_beside_a_removed_chunk(spark):
     rows = [(d, "\n".join(rng.choice(["a", "b", "c", "d", "e", "long " * 60]) for _ in range(rng.randrange(1, 25)))) for d in range(200)]
     got = {i: r["text"] for i, r in cleaned(spark.createDataFrame(rows, "doc_id long, text string")).items()}
     assert got == brute.dedup_lines(rows)
+    lines = {r["doc_id"]: (r["removed_lines"], r["n_lines"], r["text"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("removed_lines < n_lines").collect()}
+    assert lines.keys() == {d for d, t in got.items() if t} and all(n - gone == len(t.split("\n")) for gone, n, t in lines.values())
     for passage_bytes in (None, 10**6):
         kept = {r["doc_id"]: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), passage_bytes=passage_bytes).collect()}
         assert all("long" in kept[i]["text"] for i, t in rows if t.split("\n").count("long " * 60) and kept[i]["removed_lines"] == 0)
