@@ -2,7 +2,7 @@ import brute
 import numpy as np
 
 from lorequarry.llm import queries
-from lorequarry.llm.language_id import held_out, identify, train
+from lorequarry.llm.language_id import SLOTS, held_out, identify, mixtures, train
 
 WORDS = {
     "en": "the of and that with from this have they which would there their about people should water through little".split(),
@@ -88,3 +88,24 @@ def test_equal_languages_go_by_name(spark):
     same = [r for x in ("aa", "bb") for r in docs.where(f"lang = '{x}'").orderBy("doc_id").limit(least).collect()]
     model = train(spark.createDataFrame(same, "doc_id long, text string, lang string"), ~held_out())
     assert {r["lang_pred"] for r in identify(docs, model).collect()} == {"aa"}
+
+
+def test_mixtures_against_plain_loops():
+    rng = np.random.default_rng(4)
+    words = {k: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäéß"), rng.integers(2, 8))) for _ in range(40)] for k in range(4)}
+    logp = np.full((SLOTS, 4), np.log(0.5 / SLOTS))
+    for k, own in words.items():
+        padded = " " + " ".join(rng.choice(own, 3000)) + " "
+        n = np.full(SLOTS, 0.5)
+        for i in range(1, len(padded) - 1):
+            if padded[i] != " ":
+                n[brute.trigram_slot(*padded[i - 1 : i + 2])] += 1
+        logp[:, k] = np.log(n / n.sum())
+    prior = np.log([0.4, 0.3, 0.2, 0.1])
+    texts = []
+    for _ in range(60):
+        some = rng.choice(4, rng.integers(1, 5), replace=False)
+        texts.append(", ".join(" ".join(rng.choice(words[k], rng.integers(1, 60))) for k in some).title() + " 12 ½!")
+    got = mixtures(texts, logp.astype(np.float32), prior)[0]
+    want = np.array([brute.language_shares(t, logp.astype(np.float32), prior.tolist()) for t in texts])
+    assert np.allclose(got, want, atol=2e-3) and {int((w > 0).sum()) for w in want} >= {1, 2, 3}

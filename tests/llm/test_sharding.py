@@ -27,6 +27,13 @@ def test_the_query(spark, sf_dir):
     check(rows, 24, max(len(t.encode()) for t in texts.values()) + 8)
 
 
+def test_against_plain_loops(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(10_000 + k, "the same " * 40) for k in range(400)] + [(20_000 + k, "twice") for k in range(3)] + [(30_000, None), (30_001, "")]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == brute.shards_of(rows, 24)
+
+
 def test_many_rows_are_nearly_equal(spark):
     docs = spark.range(40_000).selectExpr("id as doc_id", "repeat('x', cast(pmod(hash(id), 200) as int)) as text")
     sizes = check(shard(docs).collect(), 24, 10**9)

@@ -2,9 +2,12 @@ import zlib
 
 import brute
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lorequarry.llm import queries
-from lorequarry.llm.toxicity import FEATURES, Grammar, clause_features, in_fold, sample, score, train
+from lorequarry.llm import toxicity
+from lorequarry.llm.toxicity import CLAUSES, END, FEATURES, INSULT, NEGATED, NEGATION, Grammar, clause_features, in_fold, sample, score, train
 
 LEX = {"=idiot": 3.0, "scum": 2.0}
 
@@ -25,6 +28,31 @@ def test_the_grammar_scores_clauses():
     assert clause_features(None, Grammar(LEX)) == clause_features("", Grammar(LEX)) == [0.0] * len(FEATURES)
 
 
+NAMED = {"threat": toxicity.THREAT, "target": toxicity.TARGET, "negation": toxicity.NEGATION, "report": toxicity.REPORT}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "idiots", "scummy", "kill", "you", "not", "never", "said", "word", "others", ".", "!", ";", "7", "_"]), max_size=40))
+def test_the_composed_transducer_against_plain_clauses(tokens):
+    words = {k: set(toxicity._WORDS[m].split()) for k, m in NAMED.items()}
+    lexicon = LEX | {"=kill": 1.5, "never": 2.5}  # words that are a threat or a negation too
+    text = " ".join(tokens)
+    want = brute.clause_counts(text, lexicon, words, toxicity.STEMS)
+    got = dict(zip(FEATURES, np.expm1(clause_features(text, Grammar(lexicon))), strict=True))
+    assert all(np.isclose(got[k], v) for k, v in want.items()), (got, want)
+
+
+def test_transducers_compose():
+    state, weight = 0, 1.0
+    told = []
+    for mark in (NEGATION, 0, INSULT, INSULT, INSULT, END, INSULT):
+        state, out, w = CLAUSES.arcs[state, mark]
+        told.append(bool(out & NEGATED))
+        weight *= w
+    assert told == [False, False, True, True, False, False, False] and weight == 0.25**2
+    assert 1 + max(s for s, _ in CLAUSES.arcs) == 4 * 2 * 2 * 2
+
+
 def rows_of(spark, n=600):
     rng = np.random.default_rng(3)
     words = [f"w{i}ord" for i in range(300)]
