@@ -280,9 +280,11 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
 
     # Sets of one id are linked through it. Ids with one set only, nearly all, end at the first aggregate.
     several = full.select("doc_id", F.xxhash64("set_key").alias("s")).groupBy("doc_id").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).where("s0 < s1").select("doc_id")
-    owned = skew_join(full.select("doc_id", "set_key"), several.hint("merge"), "doc_id").distinct()
-    owned = materialize(skew_join(owned, reps.select("set_key", "node").hint("merge"), "set_key").select("doc_id", "node"), "owned")
-    same_id = skew_join(owned, owned.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
+    several, same_id = materialize(several, "several"), None
+    if not several.isEmpty():
+        owned = skew_join(full.select("doc_id", "set_key"), several, "doc_id").distinct()
+        owned = materialize(skew_join(owned, reps.select("set_key", "node"), "set_key").select("doc_id", "node"), "owned")
+        same_id = skew_join(owned, owned.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
 
     band = [F.xxhash64(F.lit(k), F.substring("registers", 1 + BAND_ROWS * k, BAND_ROWS)) for k in range(BANDS)]
     keys = reps.select("node", F.posexplode(F.array(*band)).alias("band", "key"))
@@ -297,8 +299,9 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     # Repeated rows collapse before they are shuffled.
     each = rows.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
     texts = materialize(_sampled(each.join(wanted.hint("merge"), ["doc_id", "th"]), words), "texts")
-    links = materialize(confirm(likely_stars, texts, num, den, words).unionByName(same_id), "links")
-    discard(likely_stars)
+    links = confirm(likely_stars, texts, num, den, words)
+    links = materialize(links if same_id is None else links.unionByName(same_id), "links")
+    discard(likely_stars, several)
     # A star that isn't likely is refuted.
     tested, top, open_rows = stars, 4, None
     labels = connected_components(links)
@@ -318,8 +321,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
             more = materialize(confirm(fresh, texts, num, den, words), "links")
             tested = tested.unionByName(fresh)
             if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = connected_components(links)
+                # the components so far stand for their links
+                labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
         open_rows = found.where("a = b").select(F.col("a").alias("node"))
         if open_rows.isEmpty():
             break
