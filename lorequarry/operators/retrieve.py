@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorequarry.functions.text import terms
+from lorequarry.operators import scan
 from lorequarry.operators.common import cut, small
 from lorequarry.operators.index import postings, term_frequencies
+from lorequarry.operators.scan import blocks, single
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -66,10 +68,16 @@ def retrieve(pages_postings: DataFrame, queries: DataFrame, k: int = 10, glossar
 
 
 def retrieve_pages(pages: DataFrame, queries: DataFrame, k: int = 10, glossary: DataFrame | None = None) -> DataFrame:
-    """The same from pages without an index: only the queries' terms are ever shuffled."""
+    """The same from pages without an index: each task keeps the k best of its own pages, and only those are shuffled."""
     q = query_terms(queries)
     q = expand(q, glossary) if glossary is not None else q
-    return top(overlap_scores(matches(postings(pages, q), q)), [F.desc("matched"), F.desc("tf")], k)
+    own, strays = single(pages)
+    scores = overlap_scores(matches(postings(strays, q), q)) if strays is not None else None
+    for part in blocks(q):
+        best = part.best(own, k)
+        best = best.select("query_id", "page_id", F.floor(F.col("score") / scan.MATCH).cast("long").alias("matched"), (F.col("score") % scan.MATCH).cast("long").alias("tf"))
+        scores = best if scores is None else scores.unionByName(best)
+    return top(scores, [F.desc("matched"), F.desc("tf")], k)
 
 
 def retrieve_bm25(pages: DataFrame, queries: DataFrame, k: int = 10, glossary: DataFrame | None = None) -> DataFrame:

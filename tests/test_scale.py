@@ -9,6 +9,36 @@ from pyspark.sql import functions as F
 from lorequarry.operators import retrieve, scan, snapshot
 
 
+def _overlap(pages, asked, k):
+    """query_id, page_id, matched, tf, rank by plain loops; rows of one page_id are one page."""
+    words = {}
+    for p, text in pages:
+        words.setdefault(p, Counter()).update((text or "").lower().split())
+    out = []
+    for q, text in asked:
+        ts = set(text.split())
+        found = sorted((-sum(t in own for t in ts), -sum(own[t] for t in ts), p) for p, own in words.items() if any(t in own for t in ts))
+        out += [(q, p, -m, -n, r) for r, (m, n, p) in enumerate(found[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_retrieval_in_blocks_equals_plain_loops(spark, monkeypatch, kind):
+    monkeypatch.setattr(scan, "TERMS_A_PASS", 7)
+    monkeypatch.setattr(scan, "CELLS", 40)
+    monkeypatch.setattr(scan, "HELD", 5)
+    rng = random.Random(1)
+    name = (lambda i: i) if kind == "long" else (lambda i: f"p{i}é")
+    pages = [(name(i), " ".join(rng.choices("a b c d e f g h i j x y z".split(), k=rng.randint(0, 12)))) for i in range(200)]
+    pages += [(name(3), "a b c a"), (name(3), "a"), (name(9), None), (name(500), None), *((name(i), "a b") for i in range(600, 640))]  # repeated ids, copies
+    asked = [(q, " ".join(rng.sample("a b c d e f g h i j".split(), k=rng.randint(1, 6)))) for q in range(12)] + [(90, "nowhere"), (91, "")]
+    rows, items = spark.createDataFrame(pages, f"page_id {kind}, text string"), spark.createDataFrame(asked, "query_id int, text string")
+    for k in (1, 4):
+        got = sorted(tuple(r) for r in retrieve.retrieve_pages(rows, items, k).select("query_id", "page_id", "matched", "tf", "rank").collect())
+        assert got == _overlap(pages, asked, k)
+    assert retrieve.retrieve_pages(rows, items.where("query_id > 90"), 3).count() == 0
+
+
 def test_anchors_of_texts_without_a_line_that_has_a_word(spark, tmp_path):
     import duckdb
     from oracle import connect, rows_of, rows_of_sql
