@@ -81,12 +81,31 @@ def retrieve_pages(pages: DataFrame, queries: DataFrame, k: int = 10, glossary:
 
 
 def retrieve_bm25(pages: DataFrame, queries: DataFrame, k: int = 10, glossary: DataFrame | None = None) -> DataFrame:
-    """query_id, page_id, score, rank. Document frequencies are those of the queries' terms; the mean length is that of all pages."""
+    """query_id, page_id, score, rank. Document frequencies are those of the queries' terms; the mean length is that of all
+    pages that have a text.
+
+    The pages are gone through twice, for the frequencies and for the scores; no posting is shuffled or written.
+    """
     q = query_terms(queries)
     q = expand(q, glossary) if glossary is not None else q
-    posts = cut(postings(pages, q), "postings")
-    n, size = pages.agg(F.count("*"), F.coalesce(F.sum(F.size(terms(F.col("text")))), F.lit(0))).first()
-    return top(bm25_scores(matches(posts, q), term_frequencies(posts), n, max(size, 1) / max(1, n)), [F.desc("score")], k)
+    own, strays = single(pages)
+    parts, scores, found = list(blocks(q)), None, (0, 0, 0)
+    if strays is not None:
+        posts = cut(postings(strays, q), "postings")
+        found = strays.agg(F.count("*"), F.count("text"), F.coalesce(F.sum(F.size(terms(F.col("text")))), F.lit(0))).first()
+    for part in parts:
+        counted = part.count(own)
+        if strays is not None:
+            part.add(term_frequencies(posts))
+    n, with_text, size = (a + b for a, b in zip(found, counted, strict=True))
+    mean = max(size, 1) / max(1, with_text)
+    for part in parts:
+        best = part.best(own, k, (n, mean, 1.2, 0.75))
+        scores = best if scores is None else scores.unionByName(best)
+        if strays is not None:
+            known = pages.sparkSession.createDataFrame(part.frequencies(), "term string, df long")
+            scores = scores.unionByName(bm25_scores(matches(posts, part.rows(pages.sparkSession)), known, n, mean))
+    return top(scores, [F.desc("score")], k)
 
 
 def with_context(seeds: DataFrame, graph: DataFrame) -> DataFrame:

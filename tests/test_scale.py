@@ -39,6 +39,28 @@ def test_retrieval_in_blocks_equals_plain_loops(spark, monkeypatch, kind):
     assert retrieve.retrieve_pages(rows, items.where("query_id > 90"), 3).count() == 0
 
 
+def test_bm25_in_blocks_equals_postings(spark, monkeypatch):
+    monkeypatch.setattr(scan, "TERMS_A_PASS", 7)
+    rng = random.Random(2)
+    pages = spark.createDataFrame([(i, " ".join(rng.choices("a b c d e f g h x y z".split(), k=rng.randint(0, 30)))) for i in range(300)] + [(7, "a b x"), (None, "a c c"), (900, None)], "page_id long, text string")
+    items = spark.createDataFrame([(q, " ".join(rng.sample("a b c d e f g h".split(), k=4))) for q in range(9)], "query_id long, text string")
+    from lorequarry.operators.index import postings, term_frequencies
+
+    asked, posts = retrieve.query_terms(items), postings(pages)
+    n, mean = 303, posts.agg(F.sum("tf")).first()[0] / 302
+    want = retrieve.top(retrieve.bm25_scores(retrieve.matches(posts, asked), term_frequencies(posts), n, mean), [F.desc("score")], 5)
+    key = lambda df: sorted((tuple(r) for r in df.select("query_id", "rank", "page_id", "score").collect()), key=repr)
+    assert key(retrieve.retrieve_bm25(pages, items, 5)) == key(want)
+
+
+def test_no_posting_is_shuffled_for_a_ranking(spark, sf_dir):
+    from lorequarry.plans import queries as Q
+
+    for query in (Q.retrieve_topk, Q.retrieve_expanded, Q.retrieve_bm25):
+        plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Aggregate" not in plan
+
+
 def test_anchors_of_texts_without_a_line_that_has_a_word(spark, tmp_path):
     import duckdb
     from oracle import connect, rows_of, rows_of_sql
