@@ -61,6 +61,30 @@ def test_no_posting_is_shuffled_for_a_ranking(spark, sf_dir):
         assert "MapInArrow" in plan and "Aggregate" not in plan
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_closures_over_ranges_equal_plain_loops(spark, monkeypatch, kind):
+    monkeypatch.setattr(snapshot, "EDGES", 40)
+    rng = random.Random(3)
+    edges = {(i, i + 1) for i in range(150)} | {(rng.randrange(400), 200) for _ in range(150)} | {(rng.randrange(300, 600), rng.randrange(300, 600)) for _ in range(350)}
+    start = {100, 200, 310, 777}
+    want, new = set(start), set(start)
+    while new:
+        new = {s for s, d in edges if d in new} - want
+        want |= new
+    name = (lambda i: i) if kind == "long" else (lambda i: f"p{i}é")
+    links = spark.createDataFrame([(name(s), name(d)) for s, d in edges] + [(None, name(1)), (name(2), None)], f"src {kind}, dst {kind}")
+    rows = snapshot.reached(spark.createDataFrame([(name(s),) for s in start] + [(None,)], f"page_id {kind}"), links).collect()
+    assert len(rows) == len(want) and {r["page_id"] for r in rows} == {name(i) for i in want}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    dealt = snapshot._dealt
+    monkeypatch.setattr(snapshot, "_dealt", lambda *a: rounds.append(1) or dealt(*a))
+    links = spark.range(2000).selectExpr("id + 1 as src", "id as dst")
+    assert snapshot.reached(spark.range(1).selectExpr("id as page_id"), links).count() == 2001 and len(rounds) == 2
+
+
 def test_anchors_of_texts_without_a_line_that_has_a_word(spark, tmp_path):
     import duckdb
     from oracle import connect, rows_of, rows_of_sql
