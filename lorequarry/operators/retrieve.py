@@ -109,10 +109,13 @@ def retrieve_bm25(pages: DataFrame, queries: DataFrame, k: int = 10, glossary: D
 
 
 def with_context(seeds: DataFrame, graph: DataFrame) -> DataFrame:
-    """query_id, page_id, role: the seeds, and their neighbours in the graph (src, dst) that aren't seeds of that query."""
-    both = graph.select("src", "dst").union(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    s = seeds.select("query_id", "page_id").distinct()
-    near = s.join(both, s["page_id"] == both["src"]).select("query_id", F.col("dst").alias("page_id")).distinct().join(s, ["query_id", "page_id"], "left_anti")
+    """query_id, page_id, role: the seeds, and their neighbours in the graph (src, dst) that aren't seeds of that query.
+
+    The seeds are written once; edges that touch none of them are left out before anything is shuffled, if the seeds are small.
+    """
+    s = cut(seeds.select("query_id", "page_id").distinct(), "seeds")
+    both = graph.select("src", "dst").union(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = small(s).join(both, s["page_id"] == both["src"]).select("query_id", F.col("dst").alias("page_id")).distinct().join(s, ["query_id", "page_id"], "left_anti")
     return s.withColumn("role", F.lit("seed")).unionByName(near.withColumn("role", F.lit("context")))
 
 

@@ -97,3 +97,10 @@ def test_anchors_of_texts_without_a_line_that_has_a_word(spark, tmp_path):
     con.executemany("insert into d values (?, ?, 'en', 's', 1)", list(enumerate(texts)))
     con.execute(f"copy d to '{tmp_path}/documents.parquet' (format parquet)")
     assert rows_of(layers.html_anchors(spark, str(tmp_path))) == rows_of_sql(connect(str(tmp_path)), layers.ORACLES["html_anchors"])[1]
+
+
+def test_seeds_are_found_once(spark, sf_dir):
+    from lorequarry.plans import queries as Q
+
+    plan = Q.seed_context(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
