@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lorequarry.functions import text as X
 from lorequarry.operators import evals, health, index, pack, retrieve, snapshot
-from lorequarry.operators.common import cut
+from lorequarry.operators.common import cut, small
 
 GLOSSARY = [("the", "der"), ("the", "le"), ("of", "de"), ("and", "und"), ("and", "et"), ("and", "y"), ("in", "en"), ("to", "zu")]
 
@@ -51,7 +51,7 @@ def _glossary(spark: SparkSession) -> DataFrame:
 
 def _ranked_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = cut(_retrieved(spark, sf_dir, 5), "ranked").withColumnRenamed("rank", "page_rank")
-    wanted = _pages(spark, sf_dir).join(got.select("page_id").distinct(), "page_id", "left_semi")
+    wanted = _pages(spark, sf_dir).join(small(got.select("page_id").distinct()), "page_id", "left_semi")
     ranked = pack.ranked_chunks(pack.chunks(wanted), got, retrieve.query_terms(_items(spark, sf_dir)))
     return ranked.join(got.select("query_id", "page_id", "page_rank"), ["query_id", "page_id"])
 
@@ -140,16 +140,19 @@ def pack_chunk_cap(spark, d):
 
 
 def pack_sources(spark, d):
-    sources = _pages(spark, d).select("page_id", "source").unionByName(_pages(spark, d).select("page_id", F.col("lang").alias("source")))
-    out = pack.with_sources(_retrieved(spark, d).select("query_id", "page_id"), sources)
+    kept = cut(_retrieved(spark, d).select("query_id", "page_id"), "kept")
+    pages = _pages(spark, d).join(small(kept.select("page_id").distinct()), "page_id", "left_semi")
+    sources = pages.select("page_id", "source").unionByName(pages.select("page_id", F.col("lang").alias("source")))
+    out = pack.with_sources(kept, sources)
     return out.select("query_id", "page_id", F.array_join("sources", ",").alias("sources"))
 
 
 def pack_reasons(spark, d):
     asked = retrieve.query_terms(_items(spark, d))
-    found = retrieve.matches(index.postings(_pages(spark, d), asked), asked)
-    kept = found.join(_retrieved(spark, d).select("query_id", "page_id"), ["query_id", "page_id"], "left_semi")
-    return retrieve.reasons(kept).select("query_id", "page_id", F.array_join("reasons", " ").alias("reasons"))
+    kept = cut(_retrieved(spark, d).select("query_id", "page_id"), "kept")
+    pages = _pages(spark, d).join(small(kept.select("page_id").distinct()), "page_id", "left_semi")
+    found = retrieve.matches(index.postings(pages, asked), asked).join(kept, ["query_id", "page_id"], "left_semi")
+    return retrieve.reasons(found).select("query_id", "page_id", F.array_join("reasons", " ").alias("reasons"))
 
 
 def context_pack_markdown(spark, d):

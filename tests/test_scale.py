@@ -104,3 +104,10 @@ def test_seeds_are_found_once(spark, sf_dir):
 
     plan = Q.seed_context(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_packs_read_their_own_pages(spark, sf_dir):
+    from lorequarry.plans import queries as Q
+
+    for query in (Q.pack_budget, Q.pack_reasons, Q.pack_sources):
+        assert "strategy=broadcast" in query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
